@@ -117,3 +117,44 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def map_blocks(docs: DataFrame, fields: str, work, block_bytes: int = 24 << 20) -> DataFrame:
+    """``docs`` with new columns that ``work`` makes from the texts of a block of rows, Arrow-batched, without a shuffle.
+
+    work(texts, batch) gets the block's texts (None for null) and its Arrow table, and returns a list of Arrow arrays, one for
+    each of ``fields`` (DDL). A block ends once its texts have ``block_bytes``, so memory is bounded by that and the
+    longest text. Same-named columns of ``docs`` are replaced; types of the others are kept.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(fields)
+    docs = docs.drop(*added.fieldNames())
+    schema = StructType(docs.schema.fields + added.fields)
+    kinds = [f.type for f in to_arrow_schema(added)]
+    names = added.fieldNames()
+
+    def run(batches):
+        def out(kept):
+            t = pa.Table.from_batches(kept)
+            for name, kind, values in zip(names, kinds, work(t.column("text").to_pylist(), t), strict=True):
+                t = t.append_column(name, values if isinstance(values, (pa.Array, pa.ChunkedArray)) and values.type == kind else pa.array(values, kind))
+            return t.combine_chunks().to_batches()
+
+        kept, size = [], 0
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                if not part.num_rows:
+                    continue
+                kept.append(part)
+                size += part.get_total_buffer_size() if part.num_rows == b.num_rows else sum(len(x.as_buffer()) for x in part.column("text") if x.is_valid)
+                if size >= block_bytes:
+                    yield from out(kept)
+                    kept, size = [], 0
+        if kept:
+            yield from out(kept)
+
+    return docs.mapInArrow(run, schema)

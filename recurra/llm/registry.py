@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import bpe, decontamination, line_dedup, sharding, toxicity
 
-QUERIES = {"op9_line_dedup": line_dedup.op9_line_dedup}
-SQL = {"op9_line_dedup": line_dedup.SQL}
+QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op3_bpe": bpe.op3_bpe,
+    "op6_kd_sharding": sharding.op6_kd_sharding,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
+}
+SQL = {
+    "op2_decontamination": decontamination.SQL,
+    "op9_line_dedup": line_dedup.SQL,
+}
