@@ -9,9 +9,11 @@ don't, the window grows, up to whole chunks. Nothing is shuffled, so a lost exec
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import OrderedDict
+from itertools import chain, repeat
 
 import numpy as np
 import xxhash
@@ -24,6 +26,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: A chunk ends where the low MASK_BITS bits of the hash of the last SPAN characters are 0: 1,024 characters on average.
 SPAN, MASK_BITS, LEAST, MOST = 16, 10, 256, 16_384
 STORE_TOKENS = 4_000_000
+#: Bound of the table of words.
+WORDS = 500_000
 BATCH_CHARS = 200_000
 #: One ASCII space or line feed between ASCII letters or digits: no token crosses it, and no normalisation does.
 _SAFE = re.compile(r"(?<=[A-Za-z0-9])[ \n](?=[A-Za-z0-9])")
@@ -57,11 +61,56 @@ def cuts(text: str) -> list[int]:
     return out
 
 
-class Chunk:
-    __slots__ = ("ids", "text")
+class WordTable:
+    """Ids of the words between ASCII white space, for tokenizers that drop white space before they merge.
 
-    def __init__(self, ids: np.ndarray, text: str):
-        self.ids, self.text = ids, text
+    There no token, normalisation or special token crosses white space, so a text's ids are those of its words in turn.
+    At ``most`` words the table starts anew, which bounds memory and changes no result.
+    """
+
+    def __init__(self, tok, most: int = WORDS):
+        self.tok, self.most = tok, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.start, self.length, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.used = 0
+
+    def _add(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
+            ids = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            n, total = len(self.place), int(length.sum())
+            while n + len(some) > len(self.start):
+                self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+            while self.used + total > len(self.ids):
+                self.ids = np.resize(self.ids, 2 * len(self.ids))
+            self.start[n : n + len(some)] = self.used + np.cumsum(length) - length
+            self.length[n : n + len(some)] = length
+            self.ids[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
+            self.used += total
+            self.place.update(zip(some, range(n, n + len(some))))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        words = [t.encode().split() for t in texts]
+        each = np.fromiter(map(len, words), np.int64, len(words))
+        flat = list(chain.from_iterable(words))
+        at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(missing := np.flatnonzero(at < 0)):
+            fresh = [flat[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(fresh))
+            if self.place and len(self.place) + len(new) > self.most:
+                self.clear()
+                return self.encode(texts)
+            self._add(new)
+            at[missing] = np.fromiter(map(self.place.__getitem__, fresh), np.int64, len(fresh))
+        length = self.length[at]
+        ends = np.cumsum(length)
+        ids = self.ids[np.repeat(self.start[at] - (ends - length), length) + np.arange(int(length.sum()))]
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(each)))].tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 class Codec:
@@ -74,6 +123,11 @@ class Codec:
         self.tok = Tokenizer.from_file(tokenizer_path(name))
         self.tok.no_truncation()
         self.tok.no_padding()
+        #: Without a decoder, decoding is joining tokens by spaces.
+        self.tokens = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())] if self.tok.decoder is None else None
+        split = (json.loads(self.tok.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        drops_space = split.get("behavior") == "Removed" and split.get("invert") and "[^\\s" in split["pattern"].get("Regex", "")
+        self.words = WordTable(self.tok) if drops_space else None
         self.store: OrderedDict[bytes, np.ndarray] = OrderedDict()
         self.joints: dict[str, np.ndarray] = {}
         self.store_tokens, self.held, self.made, self.used = store_tokens, 0, 0, 0
@@ -86,7 +140,7 @@ class Codec:
             while j < len(texts) and (j == i or size + len(texts[j]) <= BATCH_CHARS):
                 size += len(texts[j])
                 j += 1
-            out += [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts[i:j], add_special_tokens=False)]
+            out += self.words.encode(texts[i:j]) if self.words else [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts[i:j], add_special_tokens=False)]
             i = j
         return out
 
@@ -153,6 +207,8 @@ class Codec:
         return np.concatenate(parts)
 
     def decode(self, ids: np.ndarray) -> str:
+        if self.tokens is not None:
+            return " ".join(map(self.tokens.__getitem__, ids.tolist()))
         return self.tok.decode(ids.tolist(), skip_special_tokens=False)
 
 
