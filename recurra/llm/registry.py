@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, sharding, toxicity
+from . import bpe, decontamination, line_dedup, pii, sharding, toxicity
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_bpe": bpe.op3_bpe,
     "op6_kd_sharding": sharding.op6_kd_sharding,
+    "op7_pii": pii.op7_pii,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
