@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, pii, sharding, toxicity
+from . import bpe, decontamination, line_dedup, near_dedup, pii, sharding, toxicity
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
@@ -10,9 +10,11 @@ QUERIES = {
     "op6_kd_sharding": sharding.op6_kd_sharding,
     "op7_pii": pii.op7_pii,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 SQL = {
+    "op10_minhash_near_dedup": near_dedup.SQL,
     "op2_decontamination": decontamination.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
