@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, near_dedup, pii, sharding, toxicity
+from . import bpe, decontamination, embedding_dedup, line_dedup, near_dedup, pii, sharding, toxicity
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_bpe": bpe.op3_bpe,
+    "op4_embedding_near_dedup": embedding_dedup.op4_embedding_near_dedup,
     "op6_kd_sharding": sharding.op6_kd_sharding,
     "op7_pii": pii.op7_pii,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -14,6 +15,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 SQL = {
+    "op4_embedding_near_dedup": embedding_dedup.SQL,
     "op10_minhash_near_dedup": near_dedup.SQL,
     "op2_decontamination": decontamination.SQL,
     "op9_line_dedup": line_dedup.SQL,
