@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, embedding_dedup, line_dedup, near_dedup, pii, sharding, toxicity
+from . import bpe, decontamination, embedding_dedup, line_dedup, near_dedup, pii, sharding, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_suffix_array_dedup": substring_dedup.op1_suffix_array_dedup,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_bpe": bpe.op3_bpe,
     "op4_embedding_near_dedup": embedding_dedup.op4_embedding_near_dedup,
