@@ -1,15 +1,17 @@
-"""Helpers shared by the operators: tables, scratch space, row identity, components."""
+"""Helpers shared by the operators: tables, hashes, Arrow-batched work on texts."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
+from ..sources.scratch import Scratch, remove, shared_dir
+
+__all__ = ["ASCII_SPACE", "Scratch", "ascii_lower", "components", "hash128", "map_blocks", "remove", "shared_dir", "table", "tokenizer_path"]
+
 #: White space of ASCII: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -18,60 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, where it is set.
-
-    Only where it is unset (tests, one machine) a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="recurra-")
-        spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-class Scratch:
-    """Tables written into the shared folder, to cut lineage; any executor can read them again.
-
-    A lost executor costs only the tasks it ran: what was written before is on shared storage.
-    ``drop`` removes tables that no later frame reads; the rest goes when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.made = 0
-        atexit.register(self._close)
-
-    def path(self, name: str) -> str:
-        self.made += 1
-        return f"{self.root}/{self.made}-{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for f in frames:
-            remove(self.spark, f._scratch_path)
-
-    def _close(self) -> None:
-        try:
-            remove(self.spark, self.root)
-        except Exception:  # the session is gone; so is the right to delete
-            pass
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. Texts of ASCII alone take the fast built-in."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -83,32 +31,6 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)]
 
 
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected ``edges`` (a, b): one row (id, root) for each id that has an edge.
-
-    root is the smallest id reachable. Large-star and small-star rounds alternate; both are equi-joins with a
-    partial minimum, so a hub's edges spread over tasks. Each round is written to the shared folder. Edges with a
-    null end and loops are ignored; no edge at all gives no row.
-    """
-    e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    e = scratch.save(e.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
-    seen = None
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = scratch.save(both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), "large")
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.*")
-        new = scratch.save(small.where("v <> u").distinct(), "small")
-        scratch.drop(e, large)
-        e = new
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return e.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(e.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
-        seen = state
-    raise RuntimeError("components did not settle")
-
-
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies; RECURRA_TOKENIZERS names another folder."""
     folder = os.environ.get("RECURRA_TOKENIZERS")
