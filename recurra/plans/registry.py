@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import queries
+from .sql import SQL
+
+QUERIES = {name: getattr(queries, name) for name in SQL}
+
+__all__ = ["QUERIES", "SQL"]
