@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
         # 5 % less than the bound, as a hash doesn't give the exact share; the limit can then hardly cut
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(950_000 * fit_rows / total)).limit(fit_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", "text"])
-    rows = sorted((r[0], r[1] or "", r[2]) for r in rows.select("doc_id", F.substring("text", 1, 1 << 30), "toxic").toLocalIterator(prefetchPartitions=False))
+    rows = sorted((r[0], r[1] or "", r[2]) for r in rows.select("doc_id", "text", "toxic").toLocalIterator(prefetchPartitions=False))
     y = np.array([r[2] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return None
