@@ -15,6 +15,10 @@ from ..sources.scratch import Scratch
 DOC_RULES = Rules(prompt_jaccard=0.5, tool_sequence=0.0, cross_project=True)
 
 
+#: With more symbols than this, sequences are compared as arrays instead of coded strings.
+MOST_SYMBOLS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -183,7 +187,9 @@ def event_sequences(spark, sf_dir):
 
 def tool_seq_similarity(spark, sf_dir):
     """Each user's sequence against the next user's, on the JVM: symbols become one code point each."""
-    kinds = [r[0] for r in read(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").limit(1000).collect()]
+    kinds = [r[0] for r in read(spark, sf_dir, "events").where("event_type IS NOT NULL").select("event_type").distinct().orderBy("event_type").limit(MOST_SYMBOLS + 1).collect()]
+    if len(kinds) > MOST_SYMBOLS:
+        return tool_seq_similarity_arrays(spark, sf_dir)
     s = _sequences(spark, sf_dir).select("user_id", coded(F.col("seq"), kinds).alias("code"))
     following = s.select((F.col("user_id") - 1).alias("user_id"), F.col("user_id").alias("next_id"), F.col("code").alias("next_code"))
     return s.join(following, "user_id").select("user_id", "next_id", F.round(coded_similarity(F.col("code"), F.col("next_code")), 9).alias("similarity"))
