@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import logging
 import platform
 import re
 from datetime import UTC, datetime
+from logging.handlers import RotatingFileHandler
 from pathlib import Path
 
 import pyspark
@@ -27,6 +29,17 @@ FIELD_TYPES = ("short_text", "long_text", "file", "date", "dropdown")
 _KEYS = {"proposal_version", "source", "fingerprint", "title", "summary", "kickoff_fields", "steps"}
 
 
+def log_to(path: str, most: int = 512 * 1024) -> logging.Logger:
+    """The engine's log, rotated once it has ``most`` bytes."""
+    log = logging.getLogger("recurra")
+    if not any(getattr(h, "baseFilename", None) == str(Path(path).absolute()) for h in log.handlers):
+        handler = RotatingFileHandler(path, maxBytes=most, backupCount=1, encoding="utf-8")
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(handler)
+        log.setLevel(logging.INFO)
+    return log
+
+
 class SecretsFound(Exception):
     def __init__(self, findings: list):
         super().__init__(f"{len(findings)} secrets in the draft")
@@ -169,6 +182,7 @@ class Engine:
         last = old.agg(F.max("proposal_id")).first()[0] or 0
         new = self.spark.createDataFrame([(last + 1, fingerprint, source, json.dumps(draft), "draft", self.now())], PROPOSALS)
         self.store.write("proposals", old.unionByName(new))
+        self.spark.createDataFrame([(json.dumps(draft, indent=2),)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{self.root}/drafts/{transcripts.safe_name(fingerprint)}")
         return {"ok": True, "fingerprint": fingerprint}
 
     def proposal(self, fingerprint: str) -> dict | None:
@@ -203,7 +217,10 @@ class Engine:
         """Members with their evidence; a session that is gone shows with its id only."""
         c = self.store.read("clusters").where(F.col("fingerprint") == fingerprint)
         m = c.select("cluster_id").join(self.store.read("members"), "cluster_id").select("session_id")
-        return m.join(self.store.read("sessions").select("session_id", "project", "started_at", "ended_at", "transcript_path", "prompts", "tool_seq"), "session_id", "left").orderBy("session_id")
+        out = m.join(self.store.read("sessions").select("session_id", "project", "started_at", "ended_at", "transcript_path", "prompts", "tool_seq"), "session_id", "left")
+        paths = [r[0] for r in out.where("transcript_path IS NOT NULL").select("transcript_path").distinct().collect()]  # of one cluster
+        there = transcripts.on_disk(self.spark, paths)
+        return out.withColumn("transcript_still_on_disk", F.coalesce(F.col("transcript_path").isin(there), F.lit(False))).orderBy("session_id")
 
     def redact_check(self, path: str) -> DataFrame:
         return redact.find_secrets(documents.documents(self.spark, path), "text", ["path"])

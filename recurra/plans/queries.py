@@ -10,6 +10,7 @@ from ..functions import digests, redact, sketch, text
 from ..functions.sequences import coded, coded_similarity, sequence_similarity
 from ..operators import groups, tables
 from ..sources.scratch import Scratch
+from ..sources.transcripts import fold_file
 
 #: Documents have no tool sequences and are compared across sources.
 DOC_RULES = Rules(prompt_jaccard=0.5, tool_sequence=0.0, cross_project=True)
@@ -68,6 +69,28 @@ def conversation_fold(spark, sf_dir):
     )
 
 
+def _transcripts(spark, sf_dir) -> DataFrame:
+    """Conversations as transcripts: users' turns as prompts, assistants' turns as calls of one of three tools."""
+    c = read(spark, sf_dir, "conversations")
+    stamp = F.concat(F.lit("2026-01-01T00:"), F.lpad(F.col("turn").cast("string"), 4, "0"))
+    said = F.to_json(F.struct(F.lit("user").alias("type"), stamp.alias("timestamp"), F.struct(F.lit("user").alias("role"), F.col("text").alias("content")).alias("message")))
+    item = F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("T"), (F.col("turn") % 3).cast("string")).alias("name"), F.struct(F.col("turn").alias("k")).alias("input"))
+    done = F.to_json(F.struct(F.lit("assistant").alias("type"), stamp.alias("timestamp"), F.struct(F.lit("assistant").alias("role"), F.array(item).alias("content")).alias("message")))
+    other = F.to_json(F.struct(F.col("role").alias("type"), stamp.alias("timestamp"), F.lit("/w/p").alias("cwd")))
+    line = F.when(F.col("role") == "user", said).when(F.col("role") == "assistant", done).otherwise(other)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
+    return c.groupBy("conv_id").agg(F.encode(F.array_join(lines, "\n"), "UTF-8").alias("content"))
+
+
+def transcript_fold(spark, sf_dir):
+    """Strict parse and fold of whole transcripts."""
+    f = _transcripts(spark, sf_dir).select("conv_id", fold_file("content").alias("f"))
+    return f.select(
+        "conv_id", "f.status", F.size("f.prompts").cast("bigint").alias("prompts"), F.array_join(F.transform("f.tool_calls", lambda c: c["name"]), ",").alias("tools"), "f.started_at", "f.ended_at", "f.cwd",
+        *[F.col(f"f.{c}").cast("bigint").alias(c) for c in ("line_count", "skipped", "other_types")],
+    )
+
+
 def trivial_conversations(spark, sf_dir):
     """Fewer prompts than asked for, or no answer and a short span (here: turns for seconds)."""
     f = conversation_fold(spark, sf_dir)

@@ -104,6 +104,9 @@ SQL = {
     "conversation_session_text": f"SELECT conv_id, string_agg({normalized_sql('text')}, ' | ' ORDER BY turn, text) AS session_text FROM conversations WHERE {_user} GROUP BY conv_id",
     "conversation_title_hint": f"SELECT conv_id, {title('arg_min(text, turn)')} AS title_hint FROM conversations WHERE {_user} GROUP BY conv_id",
     "conversation_fold": _fold,
+    "transcript_fold": f"""SELECT conv_id, 'ok' AS status, count(*) FILTER ({_user}) AS prompts, coalesce(string_agg('T' || (turn % 3)::VARCHAR, ',' ORDER BY turn) FILTER (role = 'assistant'), '') AS tools,
+  min('2026-01-01T00:' || lpad(turn::VARCHAR, 4, '0')) AS started_at, max('2026-01-01T00:' || lpad(turn::VARCHAR, 4, '0')) AS ended_at, CASE WHEN count(*) FILTER (role NOT IN ('user', 'assistant')) > 0 THEN '/w/p' END AS cwd,
+  count(*) AS line_count, 0 AS skipped, count(*) FILTER (role NOT IN ('user', 'assistant')) AS other_types FROM conversations GROUP BY conv_id""",
     "trivial_conversations": f"SELECT conv_id, CASE WHEN prompt_count < 1 OR (answer_count = 0 AND last_turn - first_turn < 2) THEN 'trivial' ELSE 'indexed' END AS status FROM ({_fold})",
     "wrapper_turns": f"SELECT role, count(*) AS turns, count(*) FILTER ({_wrapper}) AS wrappers FROM conversations GROUP BY role",
     "word_shingles": f"""WITH n AS ({norm_of('documents', 'doc_id')}), s AS ({shingles_of('n')}), u AS (SELECT id, i, g FROM (SELECT id, unnest(s) AS g, unnest(range(len(s))) AS i FROM s)),

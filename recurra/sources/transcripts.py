@@ -129,6 +129,20 @@ def plain_path(c):
     return F.regexp_replace(c, "^file:(//)?(?=/)", "")
 
 
+def on_disk(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of ``paths`` that are files, in any file system that Spark knows."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        try:
+            if path.getFileSystem(conf).isFile(path):
+                out.append(p)
+        except Exception:  # a path of no known file system is missing too
+            continue
+    return out
+
+
 def parsed(spark: SparkSession, paths: DataFrame) -> DataFrame:
     """paths (transcript_path) -> transcript_path, content_bytes and the folded columns; unreadable paths are ``missing``.
 
@@ -137,16 +151,7 @@ def parsed(spark: SparkSession, paths: DataFrame) -> DataFrame:
     """
     wanted = paths.where("transcript_path IS NOT NULL").select("transcript_path").distinct()
     here = [r[0] for r in wanted.collect()]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    there = []
-    for p in here:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        try:
-            if path.getFileSystem(conf).isFile(path):
-                there.append(p)
-        except Exception:  # a path of no known file system is missing too
-            continue
+    there = on_disk(spark, here)
     empty = FOLDED.fieldNames()
     if there:
         files = spark.read.format("binaryFile").load(there).select(plain_path("path").alias("transcript_path"), F.col("length").alias("content_bytes"), "content")

@@ -161,6 +161,7 @@ def test_end_to_end(spark, tmp_path):
     fp = e.pending().first()["fingerprint"]
     members = e.cluster(fp).collect()
     assert [m["session_id"] for m in members] == ["s1", "s2", "s3"] and members[0]["tool_seq"] == ["Read", "Bash", "Write"]
+    assert all(m["transcript_still_on_disk"] for m in members)
     # a fourth member doesn't change the identity; a grown file is read again
     write(root / "p" / "s4.jsonl", release(4, "2.4.0"))
     e.run(projects_root=str(root), deep=True)
