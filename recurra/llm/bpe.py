@@ -25,9 +25,9 @@ from .common import map_blocks, table, tokenizer_path
 TOKENIZER = "word_bpe_49k.json"
 #: A chunk ends where the low MASK_BITS bits of the hash of the last SPAN characters are 0: 1,024 characters on average.
 SPAN, MASK_BITS, LEAST, MOST = 16, 10, 256, 16_384
-STORE_TOKENS = 4_000_000
+STORE_TOKENS = 2_000_000
 #: Bound of the table of words.
-WORDS = 500_000
+WORDS = 250_000
 BATCH_CHARS = 200_000
 #: One ASCII space or line feed between ASCII letters or digits: no token crosses it, and no normalisation does.
 _SAFE = re.compile(r"(?<=[A-Za-z0-9])[ \n](?=[A-Za-z0-9])")
@@ -177,7 +177,7 @@ class Codec:
             for j in range(k, k + len(e) - 1):
                 joins.append((j, chunks[j][_last_safe(chunks[j]) :], chunks[j + 1][: _first_safe(chunks[j + 1])]))
             k += len(e)
-        if len(self.joints) > 100_000:
+        if len(self.joints) > 20_000:
             self.joints.clear()
         fresh = list(dict.fromkeys(s for _, a, b in joins for s in (a, b, a + b) if s not in self.joints))
         self.joints.update(zip(fresh, self.plain(fresh)))
@@ -256,7 +256,7 @@ def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         ids = c.encode([t or "" for t in texts])
         return [[len(x) for x in ids], [x.astype("<u4").tobytes() for x in ids], [c.decode(x) for x in ids]]
 
-    return map_blocks(docs, FIELDS, work, block_bytes=4 << 20)
+    return map_blocks(docs, FIELDS, work, block_bytes=2 << 20)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def map_blocks(docs: DataFrame, fields: str, work, block_bytes: int = 24 << 20) -> DataFrame:
+def map_blocks(docs: DataFrame, fields: str, work, block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with new columns that ``work`` makes from the texts of a block of rows, Arrow-batched, without a shuffle.
 
     work(texts, batch) gets the block's texts (None for null) and its Arrow table, and returns a list of Arrow arrays, one for
@@ -78,5 +78,21 @@ def map_blocks(docs: DataFrame, fields: str, work, block_bytes: int = 24 << 20)
                     kept, size = [], 0
         if kept:
             yield from out(kept)
+        kept = []
+        release()
 
     return docs.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Give freed memory back at the end of a task: workers live on, and share an executor with later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

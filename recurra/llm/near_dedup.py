@@ -28,7 +28,8 @@ POSITIONS, BITS, CHUNKS = 64, 16, 16
 #: Standard deviations between the expected distance of a pair at the similarity and the radius.
 MARGIN = 4.0
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
-_WORDS = 400_000
+#: Bound of the table of word hashes.
+_WORDS = 100_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240601)
 _FACTORS = _rng.integers(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
