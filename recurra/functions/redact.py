@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import BOUNDARY, JS_SPACE, let
+from .text import BEFORE_WORD, BOUNDARY, JS_SPACE, let
 
 HOLE = "[REDACTED]"
 
@@ -34,18 +34,19 @@ FINDINGS_CAP = 50
 # End of fixed values.
 
 
-def _pattern(p: str, boundary: str) -> str:
+def _pattern(p: str, before: str, boundary: str) -> str:
+    """before: the boundary in front, where a word character follows in every pattern."""
     flag = "(?i:" if p.startswith("(?i:") else ""
     p = p[len(flag) :]
     if p.startswith("B"):
-        p = boundary + p[1:]
+        p = before + p[1:]
     if p.endswith("B"):
         p = p[:-1] + boundary
     return flag + p.replace("[S]", f"[{JS_SPACE}]")
 
 
-JAVA_PATTERNS = tuple(_pattern(p, BOUNDARY) for p in PATTERNS)
-RE2_PATTERNS = tuple(_pattern(p, r"\b") for p in PATTERNS)
+JAVA_PATTERNS = tuple(_pattern(p, BEFORE_WORD, BOUNDARY) for p in PATTERNS)
+RE2_PATTERNS = tuple(_pattern(p, r"\b", r"\b") for p in PATTERNS)
 
 
 def shannon_entropy(s: Column) -> Column:

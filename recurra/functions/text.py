@@ -29,10 +29,16 @@ REPLACEMENTS = (
 # End of fixed values.
 
 
-def _pattern(p: str, boundary: str) -> str:
+#: The boundary next to a character that is known to be a word character: one look instead of four.
+BEFORE_WORD, AFTER_WORD = f"(?<!{_WORD})", f"(?!{_WORD})"
+
+
+def _pattern(p: str, before: str, after: str) -> str:
+    if p.startswith("B[0-9A-Za-z_-]") and before == BEFORE_WORD:
+        before = BOUNDARY  # this one may begin with a hyphen
     head, tail = ("B" if p.startswith("B") else ""), ("B" if p.endswith("B") else "")
     body = p[len(head) : len(p) - len(tail)].replace("[^S", f"[^{JS_SPACE}")
-    return (boundary if head else "") + body + (boundary if tail else "")
+    return (before if head else "") + body + (after if tail else "")
 
 
 def js_trim(c: Column) -> Column:
@@ -47,15 +53,18 @@ def normalized(text: Column) -> Column:
     """Text in which runs of one process on different inputs look alike; null gives an empty string."""
     out = F.lower(F.coalesce(text, F.lit("")))
     for p, to in REPLACEMENTS:
-        out = F.regexp_replace(out, _pattern(p, BOUNDARY), to)
+        out = F.regexp_replace(out, _pattern(p, BEFORE_WORD, AFTER_WORD), to)
     return F.trim(out)
 
 
+BS = r"\b"
+
+
 def normalized_sql(text: str) -> str:
     """The same in DuckDB's SQL."""
     out = f"lower(coalesce({text}, ''))"
     for p, to in REPLACEMENTS:
-        out = f"regexp_replace({out}, '{_pattern(p, chr(92) + 'b').replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+        out = f"regexp_replace({out}, '{_pattern(p, BS, BS).replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
     return f"trim({out}, ' ')"
 
 
