@@ -151,14 +151,15 @@ def _blocks(open_: DataFrame, size: int, length: int, threshold: int) -> DataFra
 def repeated_positions(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
     """docs (doc_id, t, text) -> (doc_id, t, start, width): positions whose window starts anywhere else too."""
     rows = scratch.save(_interval_rows(docs, threshold), "intervals")
-    again = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # written first, so that the join's sides are plain shuffles and a hot rank's rows can be split over tasks
+    again = scratch.save(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "again")
     rows_open = scratch.save(rows.join(again, "g"), "open")
     scratch.drop(rows)
     classes = rows_open.groupBy("g", "s1", "s2", "width", "off").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t", "start")).alias("one"))
     classes = scratch.save(classes, "classes")
     same = ["g", "s1", "s2", "width", "off"]
     found = [rows_open.join(classes.where("n > 1").select(*same), same).select("doc_id", "t", "start", "width")]
-    several = classes.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g")
+    several = scratch.save(classes.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g"), "several")
     reps = classes.join(several, "g").select("one.*", "width", "g", "off", (F.col("n") == 1).alias("lone"))
     open_ = scratch.save(_contexts(docs, reps, threshold), "contexts")
     length = start_length(threshold)
