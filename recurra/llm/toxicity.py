@@ -30,33 +30,101 @@ _DELEET = bytes(_LEET.get(b, _LOWER[b]) for b in range(256))
 _SPACED = re.compile(rb"(?<![a-z])(?:[a-z][ ._*-]){3,}[a-z](?![a-z])")
 _SECOND = frozenset(w.encode() for w in "you your yours yourself u ur du dich dir dein deine tu toi ton te vous votre usted tus ti ihr euch eure".split())
 _MARKS = b"!?#$%&*@"
-FEATURES = ("hits", "density", "kinds", "weak", "near_you", "capitals", "marks", "obfuscated", "spaced", "digits", "length", "repeats")
+#: Stems are beginnings of words of so many letters; so many different words of a text must share one for it to count.
+STEM_MIN, STEM_MAX, STEM_WORDS = 5, 8, 2
+FEATURES = ("hits", "density", "kinds", "weak", "near_you", "capitals", "marks", "obfuscated", "spaced", "digits", "length", "repeats", "stemmed", "stem_words")
+
+
+def _folding() -> bytes:
+    """Like _LOWER, and second bytes of accented Latin letters (their first, C3, is deleted) stand for the plain letters."""
+    out = bytearray(_LOWER)
+    for k, c in enumerate(b"aaaaaaaceeeeiiiidnooooo.ouuuuyts"):
+        if c != 0x2E:
+            out[0x80 + k] = out[0xA0 + k] = c
+    return bytes(out)
+
+
+_FOLD = _folding()
+
+
+def folded(text: bytes) -> list[bytes]:
+    """Words of a text without case and without accents of Latin letters."""
+    return text.translate(_FOLD, b"\xc3").split()
+
+
+def sure(a: float, b: float, n1: float, n0: float) -> float:
+    """Twice the log-likelihood ratio of a word in a of n1 toxic and b of n0 other rows against equal shares."""
+    n, k = n1 + n0, a + b
+    cells = ((a, n1 * k / n), (b, n0 * k / n), (n1 - a, n1 * (n - k) / n), (n0 - b, n0 * (n - k) / n))
+    return 2 * sum(x * np.log(x / e) for x, e in cells if x > 0)
+
+
+def log_odds(a: float, b: float, n1: float, n0: float) -> float:
+    return float(np.log((a + 0.1) / (n1 - a + 0.1)) - np.log((b + 0.1) / (n0 - b + 0.1)))
+
+
+def _shared_stems(text: str) -> np.ndarray:
+    """Stems that STEM_WORDS different words of a text start with, as whole numbers: STEM_MAX bytes, zeros at the end."""
+    words = np.array(list(set(folded(text.encode("utf-8", "surrogatepass")))) or [b""], f"S{STEM_MAX}").view(">u8").astype(np.uint64)
+    out = []
+    for k in range(STEM_MIN, STEM_MAX + 1):
+        cut = np.uint64(8 * (STEM_MAX - k))
+        s, times = np.unique(words[(words >> cut) & np.uint64(0xFF) > 0] >> cut << cut, return_counts=True)
+        out.append(s[times >= STEM_WORDS])
+    return np.concatenate(out)
+
+
+def stems_of(texts: list[str], toxic: np.ndarray) -> tuple[bytes, ...]:
+    """Beginnings of words that mark toxic rows, so that inflected forms count which are rare one by one; none begins another.
+
+    A row holds a stem if STEM_WORDS different words start with it. It marks toxic rows if more of them hold it than chance
+    gives among all stems tried, in whatever language: no share of all toxic rows is asked for.
+    """
+    bad = [_shared_stems(t) for t, y in zip(texts, toxic) if y]
+    tried, a = np.unique(np.concatenate(bad or [np.zeros(0, np.uint64)]), return_counts=True)
+    tried, a = tried[a >= 3], a[a >= 3]
+    b = np.zeros(len(tried), np.int64)
+    for t, y in zip(texts, toxic):
+        if not y and len(tried):
+            own = _shared_stems(t)
+            at = np.minimum(np.searchsorted(tried, own), len(tried) - 1)
+            b[at[tried[at] == own]] += 1
+    n1 = float(toxic.sum())
+    n0 = len(toxic) - n1
+    least = 2 * np.log(max(len(tried), 2))
+    # by bytes, so that a stem comes before those that it begins
+    out: list[bytes] = []
+    for s, x, y in sorted((int(s).to_bytes(8, "big").rstrip(b"\0"), x, y) for s, x, y in zip(tried, a.tolist(), b.tolist())):
+        if not (out and s.startswith(out[-1])) and log_odds(x, y, n1, n0) > 1.5 and sure(x, y, n1, n0) > least:
+            out.append(s)
+    return tuple(out)
 
 
 def lexicon(texts: list[str], toxic: np.ndarray) -> tuple[dict[bytes, float], dict[bytes, float]]:
-    """Words that mark toxic rows: strong and weak ones, by log odds against their standard error."""
+    """Words that mark toxic rows: strong ones by log odds and more support than chance gives, weak ones by log odds against their standard error."""
     counts = (Counter(), Counter())
     for t, y in zip(texts, toxic.astype(int).tolist()):
         counts[y].update(set(t.encode("utf-8", "surrogatepass").translate(_LOWER).split()))
     n1 = float(toxic.sum())
     n0 = len(toxic) - n1
     strong, weak = {}, {}
+    least = 2 * np.log(max(2, sum(a >= 3 for a in counts[1].values())))
     for w, a in counts[1].items():
         b = counts[0][w]
         if a < 3 or len(w) < 3:
             continue
-        odds = np.log((a + 0.1) / (n1 - a + 0.1)) - np.log((b + 0.1) / (n0 - b + 0.1))
+        odds = log_odds(a, b, n1, n0)
         z = odds / np.sqrt(1 / (a + 0.1) + 1 / (b + 0.1))
-        share = a / n1
-        if odds > 3 and share >= 0.05 and a >= 20 * b:
-            strong[w] = float(odds)
+        if odds > 3 and a >= 20 * b and sure(a, b, n1, n0) > least:
+            strong[w] = odds
         elif z > 2 and odds > 2:
-            weak[w] = float(odds)
+            weak[w] = odds
     return strong, weak
 
 
-def features(texts: list[str | None], strong: dict[bytes, float], weak: dict[bytes, float]) -> np.ndarray:
+def features(texts: list[str | None], strong: dict[bytes, float], weak: dict[bytes, float], stems: tuple[bytes, ...] = ()) -> np.ndarray:
     out = np.zeros((len(texts), len(FEATURES)))
+    starts = [b" " + s for s in stems]
     for i, t in enumerate(texts):
         raw = t.encode("utf-8", "surrogatepass") if t else b""
         if not raw:
@@ -75,6 +143,9 @@ def features(texts: list[str | None], strong: dict[bytes, float], weak: dict[byt
         letters = sum(raw.count(bytes([c])) for c in range(0x41, 0x5B))
         marks = sum(raw.count(bytes([c])) for c in _MARKS)
         digits = sum(raw.count(bytes([c])) for c in range(0x30, 0x3A))
+        plain = b" " + raw.translate(_FOLD, b"\xc3") if starts else b""
+        begun = sum(map(plain.count, starts))
+        different = sum(w.startswith(stems) for w in set(plain.split())) if begun else 0
         out[i] = (
             hits + hidden_more(hidden, hits),
             (hits + hidden_more(hidden, hits)) / n,
@@ -88,6 +159,8 @@ def features(texts: list[str | None], strong: dict[bytes, float], weak: dict[byt
             digits / size,
             np.log1p(size),
             1 - len(set(words)) / n,
+            begun / n,
+            different,
         )
     return out
 
@@ -104,12 +177,13 @@ class Model:
         held = fold if 0 < fold.sum() < len(fold) else fit
         some = [t for t, f in zip(texts, fit) if f]
         self.strong, self.weak = lexicon(some, toxic[fit])
-        x = features(texts, self.strong, self.weak)
+        self.stems = stems_of(some, toxic[fit])
+        x = features(texts, self.strong, self.weak, self.stems)
         self.trees = BoostedTrees().fit(x[fit], toxic[fit])
         self.calibrate = Isotonic().fit(self.trees.predict(x[held]), toxic[held])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        p = self.trees.predict(features(texts, self.strong, self.weak))
+        p = self.trees.predict(features(texts, self.strong, self.weak, self.stems))
         # calibration ties whole ranges; a small part of the raw score keeps their order
         return 0.99 * self.calibrate.predict(p) + 0.01 * p
 

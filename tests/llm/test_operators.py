@@ -307,6 +307,29 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(frame(spark, []), lab).count() == 0
 
 
+def test_toxicity_of_rare_inflected_words():
+    """Toxic rows of a second, rarer language: each has other forms of one stem, none in 5 % of the toxic rows."""
+    rng = random.Random(88)
+    forms = list(dict.fromkeys(words(rng, 400).split()))
+    texts, toxic, second = [], [], []
+    for i in range(900):
+        own = rng.random() < 0.3
+        t = words(rng, rng.randrange(40, 90), "ijklmnop" if own else "abcdefgh").split()
+        y = i % 6 == 0
+        if y:
+            for _ in range(4):
+                t.insert(rng.randrange(len(t)), rng.choice(("réeux", "reeux", "RÉEUX")) + rng.choice(forms) if own else rng.choice(("vilest", "rotter")))
+        texts.append(" ".join(t))
+        toxic.append(y)
+        second.append(own)
+    y, second, k = np.array(toxic, float), np.array(second), np.arange(900)
+    fit = k < 700
+    model = toxicity.Model(texts[:700], y[fit], k[fit] % 5 == 1)
+    found = model.score(texts[700:]) >= toxicity.THRESHOLD
+    marked = (y[~fit] == 1) & second[~fit]
+    assert marked.sum() >= 5 and found[marked].all() and found[y[~fit] == 0].mean() < 0.03
+
+
 def test_held_out_is_the_contract(spark):
     got = {r[0]: r[1] for r in spark.range(200).select("id", toxicity.held_out(F.col("id"))).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(200)}
