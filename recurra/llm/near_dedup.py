@@ -214,31 +214,32 @@ def _key_rows(classes: DataFrame, plan: list[tuple[int, ...]]) -> DataFrame:
 
 
 def _links(units: DataFrame, radius: int, similarity: Fraction) -> DataFrame:
-    """units: (p, q, side, id, sig, set), partitioned and sorted by (p, q) -> links (a, b)."""
+    """units: (p, q, side, id, doc_id, sig, set), partitioned and sorted by (p, q) -> links (a, b) of doc_ids."""
 
     def run(batches):
         def done(rows):
-            ids, seen, side = [], {}, ([], [])
+            docs, seen, side = [], {}, ([], [])
             sigs, sets = [], []
-            for s, i, g, x in rows:
+            for s, i, d, g, x in rows:
                 if i not in seen:
-                    seen[i] = len(ids)
-                    ids.append(i)
+                    seen[i] = len(docs)
+                    docs.append(d)
                     sigs.append(np.frombuffer(g, "<u2"))
                     sets.append(np.frombuffer(x, np.uint64))
                 side[s].append(seen[i])
             left, right = np.unique(side[0]).astype(np.int64), np.unique(side[1]).astype(np.int64)
             if len(left) and (len(right) or len(left) > 1):
                 for a, b in unit_links(np.stack(sigs), sets, left, right if len(right) else None, radius, similarity):
-                    yield ids[a], ids[b]
+                    if docs[a] != docs[b]:
+                        yield docs[a], docs[b]
 
         at, rows, found = None, [], []
         for batch in batches:
-            for p, q, s, i, g, x in zip(*(batch.column(c).to_pylist() for c in ("p", "q", "side", "id", "sig", "set"))):
+            for p, q, s, i, d, g, x in zip(*(batch.column(c).to_pylist() for c in ("p", "q", "side", "id", "doc_id", "sig", "set"))):
                 if (p, q) != at:
                     found += done(rows)
                     at, rows = (p, q), []
-                rows.append((s, i, g, x))
+                rows.append((s, i, d, g, x))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
                 found = []
@@ -246,7 +247,7 @@ def _links(units: DataFrame, radius: int, similarity: Fraction) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
-    return units.select("p", "q", "side", "id", "sig", "set").mapInArrow(run, "a bigint, b bigint")
+    return units.select("p", "q", "side", "id", "doc_id", "sig", "set").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -255,7 +256,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: Fraction = Frac
     Links: Jaccard similarity of the shingle sets >= ``similarity``, compared in whole numbers. component_id: the
     smallest doc_id reachable. Null or empty text, or one of white space: an empty set, linked with nothing, kept. Null
     doc_id: linked with nothing, component_id null, kept. Rows that repeat a doc_id are one document: linked if any of
-    their texts is. Ties need no rule: the result depends on sets and ids only. Empty tables give no rows. Other columns
+    their texts is, and then the rows with an empty set too. Ties need no rule: the result depends on sets and ids only. Empty tables give no rows. Other columns
     are not read. A pair at the similarity is missed by the signature with a chance under 1 in 30,000; sets are
     compared whole.
     """
@@ -264,12 +265,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: Fraction = Frac
     slim = docs.select("doc_id", "text")
     rows = scratch.save(describe(slim, width).drop("text"), "described")
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = scratch.save(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
+    # nodes of the join are sets, by a 64-bit key: a doc_id can have several
+    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    classes = scratch.save(classes.withColumn("id", F.xxhash64("set_key")), "classes")
     keys = _key_rows(classes, key_plan(radius))
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
     members = scratch.save(keys.join(shared, "key"), "members")
     # blocks: classes with the same smallest leader, split by a hash so that each part is small
-    place = members.groupBy("id").agg(F.min("leader").alias("leader")).join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id")
+    place = members.groupBy("id").agg(F.min("leader").alias("leader")).join(classes.select("id", "n"), "id")
     parts = place.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     place = scratch.save(place.join(parts, "leader").select("id", F.xxhash64("leader", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "place")
     in_key = scratch.save(members.join(place, "id").select("key", "block").distinct(), "inkey")
@@ -279,22 +282,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: Fraction = Frac
     pairs = scratch.save(lone.unionByName(cross), "pairs")
     left = pairs.join(place, F.col("p") == F.col("block")).select("p", "q", F.lit(0).alias("side"), "id")
     right = pairs.where("p <> q").join(place, F.col("q") == F.col("block")).select("p", "q", F.lit(1).alias("side"), "id")
-    texts = slim.join(place.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = slim.join(classes.join(place, "id", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
 
     def sets_of(t, batch):
         sets = [shingle_set(x, width) for x in t]
-        return [[signature(s).tobytes() if len(s) else None for s in sets], [s.tobytes() for s in sets]]
+        return [
+            [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+            [signature(s).tobytes() if len(s) else None for s in sets],
+            [s.tobytes() for s in sets],
+        ]
 
-    sets = map_blocks(texts, "sig binary, set binary", sets_of).where("sig IS NOT NULL").select(F.col("doc_id").alias("id"), "sig", "set")
+    sets = map_blocks(texts, "set_key binary, sig binary, set binary", sets_of).where("sig IS NOT NULL").select(F.xxhash64("set_key").alias("id"), "doc_id", "sig", "set")
     sets = scratch.save(sets, "sets")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = left.unionByName(right).join(sets, "id").repartition(n, "p", "q").sortWithinPartitions("p", "q")
-    root = components(_links(units, radius, similarity), scratch)
-    labels = classes.select("set_key", "id").join(root, "id", "left").select("set_key", F.coalesce("root", "id").alias("class_root"))
-    # one doc_id with several sets: all of them are one document
-    out = rows.join(labels, "set_key", "left")
-    label = F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce("class_root", "doc_id"))
-    return out.select("doc_id", "n_shingles", label.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # one doc_id with several sets (none counts as one): all of them are one document, tied to each set's least doc_id
+    several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("set_key")).alias("lo"), F.max(F.xxhash64("set_key")).alias("hi")).where("lo < hi")
+    least = classes.select("set_key", F.col("doc_id").alias("b"))
+    ties = known.select("doc_id", "set_key").join(several, "doc_id", "left_semi").join(least, "set_key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    root = scratch.save(components(_links(units, radius, similarity).unionByName(ties), scratch), "roots")
+    labels = least.join(root, F.col("b") == F.col("id"), "left").select("set_key", F.coalesce("root", "b").alias("label"))
+    full = rows.where("set_key IS NOT NULL").join(labels, "set_key", "left").select("doc_id", "n_shingles", "label")
+    empty = rows.where("set_key IS NULL").join(root, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("label"))
+    label = F.when(F.col("doc_id").isNotNull(), F.col("label"))
+    return full.unionByName(empty).select("doc_id", "n_shingles", label.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

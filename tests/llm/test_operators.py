@@ -424,6 +424,24 @@ def test_near_duplicate_edges(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch):
+    """A doc_id with several texts is one document, linked by any of them."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    rng = random.Random(10)
+    base = [words(rng, 120) for _ in range(12)]
+    near = [t + " more" for t in base]
+    b, a, c = base[:3]
+    texts, ids = [b, a, b, near[1], near[2], c, "", near[0], ""], [0, 1, 1, 5, 6, 9, 5, 9, 4]
+    # one doc_id with many texts, each near another document's
+    texts += base[3:] + near[3:]
+    ids += [20] * 9 + list(range(21, 30))
+    root = {i: 0 for i in (0, 1, 5, 6, 9)} | {4: 4} | {i: 20 for i in range(20, 30)}
+    for order in (1, -1):
+        got = near_dedup.near_duplicates(frame(spark, texts[::order], ids[::order]), 3, Fraction(4, 5)).collect()
+        assert len(got) == len(ids)
+        assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(i, z, i == z) for i, z in root.items()}
+
+
 def test_keys_are_shared_within_the_radius():
     """The pigeonhole guarantee, over random errors."""
     rng = np.random.default_rng(13)
