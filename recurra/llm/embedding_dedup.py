@@ -133,15 +133,16 @@ def unit_links(place: int, vec: np.ndarray, keys: np.ndarray, times: np.ndarray,
 
 
 def _links(units: DataFrame, cosine: float) -> DataFrame:
-    """units (bucket, p, q, side, id, times, vec, keys), partitioned and sorted by unit -> rows (a, b, n)."""
+    """units (bucket, p, q, side, id, vec_id, times, vec, keys), partitioned and sorted by unit -> links (a, b, 0) of vec_ids and counts (id, null, n)."""
 
     def run(batches):
         def done(at, rows):
             ids: dict[int, int] = {}
-            side, vec, keys, times = ([], []), [], [], []
-            for s, i, t, v, k in rows:
+            side, vec, keys, times, named = ([], []), [], [], [], []
+            for s, i, d, t, v, k in rows:
                 if i not in ids:
                     ids[i] = len(ids)
+                    named.append(d)
                     vec.append(np.frombuffer(v, np.float64))
                     keys.append(np.frombuffer(k, "<u4"))
                     times.append(t)
@@ -153,7 +154,7 @@ def _links(units: DataFrame, cosine: float) -> DataFrame:
             count, links = unit_links(at[0] >> 32, np.stack(vec), np.stack(keys), np.array(times, np.int64), np.unique(side[0]), right, cosine)
             for i in np.flatnonzero(count).tolist():
                 out.append((back[i], None, int(count[i])))
-            out.extend((back[a], back[b], 0) for a, b in links)
+            out.extend((named[a], named[b], 0) for a, b in links)
 
         def batch():
             made = pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(3)], ["a", "b", "n"])
@@ -162,7 +163,7 @@ def _links(units: DataFrame, cosine: float) -> DataFrame:
 
         at, rows, out = None, [], []
         for b in batches:
-            for bucket, p, q, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "p", "q", "side", "id", "times", "vec", "keys"))):
+            for bucket, p, q, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "p", "q", "side", "id", "vec_id", "times", "vec", "keys"))):
                 if (bucket, p, q) != at:
                     if rows:
                         done(at, rows)
@@ -175,7 +176,7 @@ def _links(units: DataFrame, cosine: float) -> DataFrame:
         if out:
             yield batch()
 
-    return units.select("bucket", "p", "q", "side", "id", "times", "vec", "keys").mapInArrow(run, "a bigint, b bigint, n bigint")
+    return units.select("bucket", "p", "q", "side", "id", "vec_id", "times", "vec", "keys").mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -192,8 +193,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
     k, tables = plan(vectors.count(), cosine)
     rows = scratch.save(_described(vectors, k, tables), "vectors")
     known = rows.where("vec_id IS NOT NULL AND same IS NOT NULL")
-    classes = known.groupBy("same").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.first("vec").alias("vec"), F.first("keys").alias("keys"))
-    classes = scratch.save(classes, "classes")
+    # nodes of the join are vectors, by a 64-bit key: a vec_id can have several
+    classes = known.groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times"), F.first("vec").alias("vec"), F.first("keys").alias("keys"))
+    classes = scratch.save(classes.withColumn("id", F.xxhash64("same")), "classes")
     buckets = _bucket_rows(classes)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1 AND lo < hi")
     shared = shared.select("bucket", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
@@ -203,17 +205,24 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
     members = members.select("bucket", "id", "part", other.alias("other"))
     units = members.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"), "id")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    units = units.join(classes.select("id", "times", "vec", "keys"), "id").repartition(n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    units = units.join(classes.select("id", "vec_id", "times", "vec", "keys"), "id").repartition(n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
     found = scratch.save(_links(units, cosine), "links")
     counts = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("far"))
-    root = components(found.where("b IS NOT NULL").select("a", "b"), scratch)
-    labels = classes.select("same", "id", "times").join(counts, "id", "left").join(root, "id", "left")
-    out = rows.join(labels, "same", "left")
+    # one vec_id with several vectors (none counts as one): all of them are one component, tied to each vector's least vec_id
+    several = rows.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min(F.xxhash64("same")).alias("lo"), F.max(F.xxhash64("same")).alias("hi")).where("lo < hi")
+    least = classes.select("same", F.col("vec_id").alias("b"))
+    ties = known.select("vec_id", "same").join(several, "vec_id", "left_semi").join(least, "same").where("vec_id <> b").select(F.col("vec_id").alias("a"), "b").distinct()
+    root = scratch.save(components(found.where("b IS NOT NULL AND a <> b").select("a", "b").unionByName(ties), scratch), "roots")
+    root = root.select(F.col("id").alias("node"), "root")
+    labels = classes.select("same", "id", F.col("vec_id").alias("node"), "times").join(counts, "id", "left").join(root, "node", "left").select("same", "times", "far", F.coalesce("root", "node").alias("root"))
+    full = rows.where("same IS NOT NULL").join(labels, "same", "left").select("vec_id", "times", "far", "root")
+    none = rows.where("same IS NULL").join(root, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.lit(None).cast("bigint").alias("times"), F.lit(None).cast("bigint").alias("far"), "root")
+    out = full.unionByName(none)
     linked = F.col("vec_id").isNotNull() & F.col("times").isNotNull()
     return out.select(
         "vec_id",
         F.when(linked, F.col("times") - 1 + F.coalesce("far", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "id", "vec_id")).alias("component_id"),
+        F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

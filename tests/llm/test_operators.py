@@ -207,6 +207,15 @@ def test_embedding_edges(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_repeated_ids(spark):
+    """A vec_id with two vectors is one component, linked by either, and each row counts its own vector's links."""
+    rows = [(0, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 0.0]), (5, [1.0, 0.01]), (6, [0.01, 1.0]), (7, [-1.0, 0.0])]
+    for order in (1, -1):
+        df = spark.createDataFrame(rows[::order], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+        got = by_id(embedding_dedup.near_duplicate_vectors(df), "vec_id", "n_links", "component_id", "kept")
+        assert got == sorted([(0, 2, 0, True), (1, 1, 0, False), (1, 2, 0, False), (1, 0, 0, False), (5, 1, 0, False), (6, 2, 0, False), (7, 0, 7, True)], key=repr)
+
+
 # 6
 
 @pytest.mark.parametrize("heavy", [0, 100])
