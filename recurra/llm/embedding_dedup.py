@@ -137,6 +137,11 @@ def _links(units: DataFrame, cosine: float) -> DataFrame:
 
     def run(batches):
         def done(at, rows):
+            # keys of 32 bits can put vectors of different length into one bucket: each length is a unit of its own
+            for size in sorted({len(r[4]) for r in rows}):
+                of_size(at, [r for r in rows if len(r[4]) == size])
+
+        def of_size(at, rows):
             ids: dict[int, int] = {}
             side, vec, keys, times, named = ([], []), [], [], [], []
             for s, i, d, t, v, k in rows:
@@ -147,7 +152,7 @@ def _links(units: DataFrame, cosine: float) -> DataFrame:
                     keys.append(np.frombuffer(k, "<u4"))
                     times.append(t)
                 side[s].append(ids[i])
-            if len(ids) < 2 or at[1] != at[2] and not (side[0] and side[1]) or len({len(v) for v in vec}) > 1:
+            if len(ids) < 2 or at[1] != at[2] and not (side[0] and side[1]):
                 return
             back = list(ids)
             right = np.unique(side[1]) if at[1] != at[2] else None

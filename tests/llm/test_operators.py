@@ -216,6 +216,14 @@ def test_embeddings_of_repeated_ids(spark):
         assert got == sorted([(0, 2, 0, True), (1, 1, 0, False), (1, 2, 0, False), (1, 0, 0, False), (5, 1, 0, False), (6, 2, 0, False), (7, 0, 7, True)], key=repr)
 
 
+def test_embeddings_of_two_lengths_in_a_bucket(spark):
+    raw = [np.array(v, np.float64).tobytes() for v in ([1.0, 0.0], [1.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.0])]
+    rows = [(5, 0, 0, 0, 10 + i, i, 1, v, bytes(4)) for i, v in enumerate(raw)]
+    units = spark.createDataFrame(rows, "bucket BIGINT, p INT, q INT, side INT, id BIGINT, vec_id BIGINT, times BIGINT, vec BINARY, keys BINARY").coalesce(1)
+    got = {(r["a"], r["b"], r["n"]) for r in embedding_dedup._links(units, 0.95).collect()}
+    assert got == {(0, 1, 0), (2, 3, 0)} | {(10 + i, None, 1) for i in range(4)}
+
+
 # 6
 
 @pytest.mark.parametrize("heavy", [0, 100])
