@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, map_blocks, table
 
 POSITIONS, BITS, CHUNKS = 64, 16, 16
-#: Standard deviations between the expected distance of a pair at the similarity and the radius.
-MARGIN = 4.0
+#: Bound of the chance that a pair at the similarity is further apart than the radius.
+MISS = Fraction(1, 30_000)
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
 #: Bound of the table of word hashes.
 _WORDS = 100_000
@@ -74,9 +75,13 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def radius_of(similarity: Fraction) -> int:
-    """The signature distance that pairs at ``similarity`` exceed with a chance under 1 in 30,000."""
-    miss = float(1 - similarity)
-    return min(POSITIONS - 1, int(POSITIONS * miss + MARGIN * (POSITIONS * miss * (1 - miss)) ** 0.5 + 0.999))
+    """The least signature distance that pairs at ``similarity`` exceed with a chance under MISS, by the binomial tail."""
+    miss, within = 1 - similarity, Fraction(0)
+    for r in range(POSITIONS):
+        within += comb(POSITIONS, r) * miss**r * (1 - miss) ** (POSITIONS - r)
+        if 1 - within < MISS:
+            return r
+    return POSITIONS - 1
 
 
 def key_plan(radius: int) -> list[tuple[int, ...]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -459,6 +460,14 @@ def test_near_duplicates_of_repeated_ids(spark, monkeypatch):
         assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(i, z, i == z) for i, z in root.items()}
 
 
+def test_radius_keeps_its_miss_rate():
+    for similarity in (Fraction(4, 5), Fraction(85, 100), Fraction(1, 2), Fraction(95, 100), Fraction(1)):
+        far, n = float(1 - similarity), near_dedup.POSITIONS
+        radius = near_dedup.radius_of(similarity)
+        assert sum(math.comb(n, r) * far**r * (1 - far) ** (n - r) for r in range(radius + 1, n + 1)) < 1 / 30_000
+    assert near_dedup.radius_of(Fraction(85, 100)) == 22
+
+
 def test_keys_are_shared_within_the_radius():
     """The pigeonhole guarantee, over random errors."""
     rng = np.random.default_rng(13)
