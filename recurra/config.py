@@ -16,7 +16,7 @@ DEFAULTS = {
     "ignore_projects": [],
     "cross_project": False,
     "trivial": {"min_prompts": 1, "min_duration_seconds": 60},
-    "publish": {"folder": None, "tags": ["repeatable"]},
+    "publish": {"folder": None, "tags": []},
 }
 # End of fixed values.
 

@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import BEFORE_WORD, BOUNDARY, JS_SPACE, let
+from .text import java_pattern, let, with_space
 
 HOLE = "[REDACTED]"
 
-# Patterns p0 to p15 in order. B stands for an ASCII word boundary, S for white space.
+# Patterns p0 to p15 in order.
 PATTERNS = (
     r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?s:.*?)-----END [A-Z0-9 ]*PRIVATE KEY-----",
-    r"BeyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}B",
-    r"BeyJ[A-Za-z0-9_-]{20,}B",
-    r"BAKIA[0-9A-Z]{16}B",
-    r"(?i:B(?:aws_secret_access_key|aws_session_token)[S]*[=:][S]*[A-Za-z0-9+/=]{20,})",
-    r"Bgh[pousr]_[A-Za-z0-9]{20,}B",
-    r"Bgithub_pat_[A-Za-z0-9_]{20,}B",
-    r"Bglpat-[A-Za-z0-9_-]{15,}B",
-    r"Bxox[baprs]-[A-Za-z0-9-]{10,}B",
-    r"BAIza[0-9A-Za-z_-]{35}B",
-    r"Bsk-[A-Za-z0-9_-]{20,}B",
-    r"B[rs]k_(?:live|test)_[A-Za-z0-9]{16,}B",
-    r"Bnpm_[A-Za-z0-9]{30,}B",
-    r"BSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}B",
-    r"B[Bb]earer[S]+[A-Za-z0-9._~+/=-]{16,}",
-    r"(?i:B(?:api[_-]?key|apikey|secret|token|password|passwd|client[_-]?secret)[S]*[=:][S]*[\"']?[A-Za-z0-9._~+/-]{12,}[\"']?)",
+    r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\b",
+    r"\beyJ[A-Za-z0-9_-]{20,}\b",
+    r"\bAKIA[0-9A-Z]{16}\b",
+    r"(?i)\b(?:aws_secret_access_key|aws_session_token)\s*[=:]\s*[A-Za-z0-9+/=]{20,}",
+    r"\bgh[pousr]_[A-Za-z0-9]{20,}\b",
+    r"\bgithub_pat_[A-Za-z0-9_]{20,}\b",
+    r"\bglpat-[A-Za-z0-9_-]{15,}\b",
+    r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
+    r"\bAIza[0-9A-Za-z_-]{35}\b",
+    r"\bsk-[A-Za-z0-9_-]{20,}\b",
+    r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,}\b",
+    r"\bnpm_[A-Za-z0-9]{30,}\b",
+    r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}\b",
+    r"\b[Bb]earer\s+[A-Za-z0-9._~+/=-]{16,}",
+    r"(?i)\b(?:api[_-]?key|apikey|secret|token|password|passwd|client[_-]?secret)\s*[=:]\s*[\"']?[A-Za-z0-9._~+/-]{12,}[\"']?",
 )
 ENTROPY_TOKEN = r"[A-Za-z0-9+/=_-]{32,}"
 ENTROPY_BITS = 4.2
@@ -34,19 +34,10 @@ FINDINGS_CAP = 50
 # End of fixed values.
 
 
-def _pattern(p: str, before: str, boundary: str) -> str:
-    """before: the boundary in front, where a word character follows in every pattern."""
-    flag = "(?i:" if p.startswith("(?i:") else ""
-    p = p[len(flag) :]
-    if p.startswith("B"):
-        p = before + p[1:]
-    if p.endswith("B"):
-        p = p[:-1] + boundary
-    return flag + p.replace("[S]", f"[{JS_SPACE}]")
-
-
-JAVA_PATTERNS = tuple(_pattern(p, BEFORE_WORD, BOUNDARY) for p in PATTERNS)
-RE2_PATTERNS = tuple(_pattern(p, r"\b", r"\b") for p in PATTERNS)
+JAVA_PATTERNS = tuple(map(java_pattern, PATTERNS))
+RE2_PATTERNS = tuple(map(with_space, PATTERNS))
+#: The net's tokens begin where no character of theirs is in front, so that a run is read once.
+JAVA_TOKEN = r"[A-Za-z0-9+/=_-](?<![A-Za-z0-9+/=_-].)[A-Za-z0-9+/=_-]{31,}+"
 
 
 def shannon_entropy(s: Column) -> Column:
@@ -68,7 +59,7 @@ def is_random(token: Column) -> Column:
 
 
 def entropy_tokens(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(text, F.lit(ENTROPY_TOKEN), F.lit(0)), is_random)
+    return F.filter(F.regexp_extract_all(text, F.lit(JAVA_TOKEN), F.lit(0)), is_random)
 
 
 def redacted(text: Column) -> Column:
@@ -78,9 +69,9 @@ def redacted(text: Column) -> Column:
         out = F.regexp_replace(out, p, HOLE.replace("[", r"\[").replace("]", r"\]"))
 
     def net(t: Column) -> Column:
-        tokens = F.regexp_extract_all(t, F.lit(ENTROPY_TOKEN), F.lit(0))
-        pieces = F.zip_with(F.split(t, ENTROPY_TOKEN, -1), tokens, lambda gap, x: F.concat(gap, F.when(x.isNull(), "").when(is_random(x), HOLE).otherwise(x)))
-        return F.when(t.rlike(ENTROPY_TOKEN), F.array_join(pieces, "")).otherwise(t)
+        tokens = F.regexp_extract_all(t, F.lit(JAVA_TOKEN), F.lit(0))
+        pieces = F.zip_with(F.split(t, JAVA_TOKEN, -1), tokens, lambda gap, x: F.concat(gap, F.when(x.isNull(), "").when(is_random(x), HOLE).otherwise(x)))
+        return F.when(t.rlike(JAVA_TOKEN), F.array_join(pieces, "")).otherwise(t)
 
     return let(out, net)
 
@@ -101,7 +92,7 @@ def find_secrets(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     Patterns are tested row by row in one pass; rows in which none matches go no further.
     """
     quick = F.lit(False)
-    for p in (*JAVA_PATTERNS, ENTROPY_TOKEN):
+    for p in (*JAVA_PATTERNS, JAVA_TOKEN):
         quick = quick | F.col(column).rlike(p)
     found = df.where(quick).select(*keys, F.explode(F.concat(*_by_pattern(F.col(column)))).alias("f"))
     return found.select(*keys, "f.pattern", "f.sample")

@@ -2,43 +2,85 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as ECMAScript defines it, as the body of a character class. Java and RE2 read it alike.
+#: White space as ECMAScript's \s has it, as the body of a character class. Java and RE2 read it alike, their own \s differ.
 JS_SPACE = r"\x09-\x0D\x20\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-#: An ASCII word boundary. Java's own \b knows letters beyond ASCII; RE2's doesn't, so the SQL form keeps \b.
-_WORD = "[0-9A-Za-z_]"
-BOUNDARY = rf"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
-# What is replaced, in this order, after lower-casing. B stands for the boundary, S for white space.
+# What is replaced, in this order, after lower-casing.
 REPLACEMENTS = (
     (r"\[redacted\]", " SECRET "),
-    (r"https?://[^S\"'<>)]+", " URL "),
+    (r"https?://[^\s\"'<>)]+", " URL "),
     (r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", " EMAIL "),
-    (r"B[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}B", " ID "),
-    (r"B[0-9a-f]{8,}B", " ID "),
-    (r"B[a-z]:\\[^S\"'<>|]+", " PATH "),
-    (r"(?:~|\.{1,2})?/[0-9A-Za-z_.@%+-]+(?:/[0-9A-Za-z_.@%+-]+)+/?", " PATH "),
-    (r"B[0-9A-Za-z_-]+\.(?:md|txt|json|jsonl|csv|tsv|pdf|docx?|xlsx?|png|jpe?g|gif|svg|ts|js|mjs|cjs|py|rb|go|rs|java|php|html?|css|ya?ml|toml|sh|sql|log|zip|tar|gz)B", " FILE "),
-    (r"B[0-9]{4}-[0-9]{2}-[0-9]{2}B", " DATE "),
-    (r"B[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}B", " DATE "),
-    (r"B[0-9]+B", " NUM "),
+    (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", " ID "),
+    (r"\b[0-9a-f]{8,}\b", " ID "),
+    (r"\b[a-z]:\\[^\s\"'<>|]+", " PATH "),
+    (r"(?:~|\.{1,2})?/[\w.@%+-]+(?:/[\w.@%+-]+)+/?", " PATH "),
+    (r"\b[\w-]+\.(?:md|txt|json|jsonl|csv|tsv|pdf|docx?|xlsx?|png|jpe?g|gif|svg|ts|js|mjs|cjs|py|rb|go|rs|java|php|html?|css|ya?ml|toml|sh|sql|log|zip|tar|gz)\b", " FILE "),
+    (r"\b\d{4}-\d{2}-\d{2}\b", " DATE "),
+    (r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", " DATE "),
+    (r"\b\d+\b", " NUM "),
     (r"[^A-Za-z0-9]+", " "),
 )
 # End of fixed values.
 
-
-#: The boundary next to a character that is known to be a word character: one look instead of four.
-BEFORE_WORD, AFTER_WORD = f"(?<!{_WORD})", f"(?!{_WORD})"
-
-
-def _pattern(p: str, before: str, after: str) -> str:
-    if p.startswith("B[0-9A-Za-z_-]") and before == BEFORE_WORD:
-        before = BOUNDARY  # this one may begin with a hyphen
-    head, tail = ("B" if p.startswith("B") else ""), ("B" if p.endswith("B") else "")
-    body = p[len(head) : len(p) - len(tail)].replace("[^S", f"[^{JS_SPACE}")
-    return (before if head else "") + body + (after if tail else "")
+#: ASCII word boundaries for Java, whose \b knows letters beyond ASCII; its \w and \d are ASCII.
+BOUNDARY = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+_LEAD = re.compile(r"\\b(?:([A-Za-z]\w*)(?![*+?{])|(\[[^\]]+\]|\\d)(?:\{(\d+)(,(\d*))?\}|(\+))?)")
+
+
+def with_space(p: str) -> str:
+    r"""The pattern with ECMAScript's \s."""
+    p = p.replace(r"[^\s", f"[^{JS_SPACE}")
+    return p.replace(r"\s", f"[{JS_SPACE}]")
+
+
+def java_pattern(p: str) -> str:
+    r"""The pattern for Java, with the same matches where \b begins and ends it.
+
+    The boundary in front is tested after the first characters, which most places fail at once; a run of one class that
+    another character must end is possessive, as giving characters back can't help there.
+    """
+    flag, p = ("(?i)", p[4:]) if p.startswith("(?i)") else ("", p)
+    p = with_space(p)
+    if p.endswith(r"\b"):
+        p = p[:-2] + BOUNDARY
+    m = _LEAD.match(p)
+    if m:
+        word, atom, low, comma, high, plus = m.groups()
+        rest = p[m.end() :]
+        if word:
+            p = rf"{word}(?<!\w.{{{len(word)}}}){rest}"
+        else:
+            n = int(low or 1)
+            more = "" if not (comma or plus) else f"{atom}{{0,{int(high) - n}}}" if high else f"{atom}*+"
+            p = rf"{atom}{{{n}}}(?<!\w.{{{n}}}){more}{rest}"
+    elif p.startswith(r"\b(?:"):
+        first = "".join(sorted(set(re.findall(r"(?:\(\?:|\|)(\w)", p[2 : p.index(")")]))))
+        p = rf"(?=[{first}])(?<!\w){p[2:]}"
+    return flag + p
+
+
+def _linear(p: str) -> tuple[str, str]:
+    """Java form of a replacement, and what stays of the match. Three patterns may begin anywhere in a run of characters
+
+    and would scan its rest again from each place; here they begin at the run's start, or where the last match ended.
+    """
+    if p.startswith("[a-z0-9._%+-]+@"):
+        local = "[a-z0-9._%+-]"
+        return rf"(?:(?<!{local})|\G){local}++" + p[len(local) + 1 :], ""
+    if p.startswith(r"\b[\w-]+"):
+        # hyphens in front of a run are no part of the match, but for one right after the last match
+        return r"(?:(?<![\w-])(-*+)(?=\w)|\G(?<=\w)(?=-))[\w-]++" + p[len(r"\b[\w-]+") : -2] + BOUNDARY, "$1"
+    if p.startswith(r"(?:~|\.{1,2})?/"):
+        return r"(?=[~./])(?:~|\.{1,2})?+/[\w.@%+-]++(?:/[\w.@%+-]++)++/?", ""
+    return java_pattern(p), ""
+
+
+JAVA_REPLACEMENTS = tuple((_linear(p)[0], _linear(p)[1] + to) for p, to in REPLACEMENTS)
 
 
 def js_trim(c: Column) -> Column:
@@ -50,21 +92,18 @@ def js_ltrim(c: Column) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    """Text in which runs of one process on different inputs look alike; null gives an empty string."""
+    """Text in which runs of one process on different inputs look alike; null gives an empty string. Time is linear."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    for p, to in REPLACEMENTS:
-        out = F.regexp_replace(out, _pattern(p, BEFORE_WORD, AFTER_WORD), to)
+    for p, to in JAVA_REPLACEMENTS:
+        out = F.regexp_replace(out, p, to)
     return F.trim(out)
 
 
-BS = r"\b"
-
-
 def normalized_sql(text: str) -> str:
     """The same in DuckDB's SQL."""
     out = f"lower(coalesce({text}, ''))"
     for p, to in REPLACEMENTS:
-        out = f"regexp_replace({out}, '{_pattern(p, BS, BS).replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+        out = f"regexp_replace({out}, '{with_space(p).replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
     return f"trim({out}, ' ')"
 
 

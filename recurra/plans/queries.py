@@ -10,6 +10,7 @@ from ..functions import digests, redact, sketch, text
 from ..functions.sequences import coded, coded_similarity, sequence_similarity
 from ..operators import groups, tables
 from ..sources.scratch import Scratch
+from ..sources.spread import spread
 from ..sources.transcripts import fold_file
 
 #: Documents have no tool sequences and are compared across sources.
@@ -25,7 +26,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _norm(spark, sf_dir, name="documents", key="doc_id", column="text") -> DataFrame:
-    return read(spark, sf_dir, name).select(key, text.normalized(F.col(column)).alias("norm"))
+    return spread(read(spark, sf_dir, name).select(key, column)).select(key, text.normalized(F.col(column)).alias("norm"))
 
 
 def normalize_documents(spark, sf_dir):
@@ -37,7 +38,7 @@ def normalize_pages(spark, sf_dir):
 
 
 def normalize_conversations(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalized(F.col("text")).alias("norm"))
+    return spread(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", text.normalized(F.col("text")).alias("norm"))
 
 
 def _prompts(spark, sf_dir) -> DataFrame:
@@ -109,9 +110,9 @@ def word_shingles(spark, sf_dir):
 
 
 def fnv_shingle_hash(spark, sf_dir):
-    s = _norm(spark, sf_dir, "benchmark", "item_id").select("item_id", F.explode(text.word_shingles(F.col("norm"))).alias("s"))
-    h = s.select("item_id", sketch.fnv1a(F.col("s")).alias("h"))
-    return h.groupBy("item_id").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum(sketch.mix32(F.col("h"))).alias("mixed"))
+    s = _norm(spark, sf_dir).select("doc_id", F.explode(text.word_shingles(F.col("norm"))).alias("s"))
+    h = s.select("doc_id", sketch.fnv1a(F.col("s")).alias("h"))
+    return h.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum(sketch.mix32(F.col("h"))).alias("mixed"))
 
 
 def _sketched(spark, sf_dir, name="documents", key="doc_id") -> DataFrame:
@@ -168,33 +169,35 @@ def component_fingerprints(spark, sf_dir):
 
 def benchmark_overlap_pairs(spark, sf_dir):
     """Documents and benchmark items that share a band, with their estimate."""
-    d = groups.banded(_sketched(spark, sf_dir).withColumn("scope", F.lit(""))).withColumnRenamed("id", "doc_id")
-    b = groups.banded(_sketched(spark, sf_dir, "benchmark", "item_id").withColumn("scope", F.lit(""))).withColumnRenamed("id", "item_id")
-    pairs = d.join(b, ["scope", "band", "h"]).select("doc_id", "item_id").distinct()
-    j = pairs.join(_sketched(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("sig").alias("sa")), "doc_id")
-    j = j.join(_sketched(spark, sf_dir, "benchmark", "item_id").select(F.col("id").alias("item_id"), F.col("sig").alias("sb")), "item_id")
+    scratch = Scratch(spark)
+    d = scratch.save(_sketched(spark, sf_dir).withColumn("scope", F.lit("")), "documents")
+    b = scratch.save(_sketched(spark, sf_dir, "benchmark", "item_id").withColumn("scope", F.lit("")), "items")
+    left, right = groups.banded(d).withColumnRenamed("id", "doc_id"), groups.banded(b).withColumnRenamed("id", "item_id")
+    pairs = left.join(right, ["scope", "band", "h"]).select("doc_id", "item_id").distinct()
+    j = pairs.join(d.select(F.col("id").alias("doc_id"), F.col("sig").alias("sa")), "doc_id")
+    j = j.join(b.select(F.col("id").alias("item_id"), F.col("sig").alias("sb")), "item_id")
     return j.select("doc_id", "item_id", sketch.est_jaccard(F.col("sa"), F.col("sb")).alias("similarity"))
 
 
 def redact_documents(spark, sf_dir):
-    r = read(spark, sf_dir, "documents").select("doc_id", redact.redacted(F.col("text")).alias("r"))
+    r = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", redact.redacted(F.col("text")).alias("r"))
     holes = F.size(F.split("r", r"\[REDACTED\]", -1)) - 1
     return r.select("doc_id", holes.cast("bigint").alias("holes"), F.sha2("r", 256).alias("redacted_sha256"))
 
 
 def find_secrets(spark, sf_dir):
-    return redact.find_secrets(read(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return redact.find_secrets(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "text", ["doc_id"])
 
 
 def entropy_tokens(spark, sf_dir):
     d = read(spark, sf_dir, "pages").unionByName(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit("").alias("url"), F.col("text").alias("html")))
-    t = d.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(redact.ENTROPY_TOKEN), F.lit(0))).alias("token"))
+    t = spread(d.select("page_id", "html")).select("page_id", F.explode(F.regexp_extract_all("html", F.lit(redact.JAVA_TOKEN), F.lit(0))).alias("token"))
     return t.groupBy("page_id", "token").agg(F.count("*").alias("n")).select("page_id", "token", "n", F.round(redact.shannon_entropy(F.col("token")), 6).alias("bits"), redact.is_random(F.col("token")).alias("random"))
 
 
 def clean_documents(spark, sf_dir):
     """Is a document free of findings?"""
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", (F.size(redact.findings(F.col("text"))) == 0).alias("clean"))
 
 
@@ -230,7 +233,7 @@ def args_digest(spark, sf_dir):
 
 
 def fingerprint_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", digests.fingerprint_text(F.col("text")).alias("fingerprint"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", digests.fingerprint_text(F.col("text")).alias("fingerprint"))
 
 
 def qualified_users(spark, sf_dir):

@@ -112,8 +112,8 @@ SQL = {
     "word_shingles": f"""WITH n AS ({norm_of('documents', 'doc_id')}), s AS ({shingles_of('n')}), u AS (SELECT id, i, g FROM (SELECT id, unnest(s) AS g, unnest(range(len(s))) AS i FROM s)),
 f AS (SELECT id, g, min(i) AS i FROM u GROUP BY id, g), j AS (SELECT id, count(*) AS k, string_agg(g, chr(10) ORDER BY i) AS t FROM f GROUP BY id)
 SELECT n.id AS doc_id, coalesce(k, 0) AS n_shingles, sha256(coalesce(t, '')) AS shingles_sha256 FROM n LEFT JOIN j ON n.id = j.id""",
-    "fnv_shingle_hash": f"""WITH n AS ({norm_of('benchmark', 'item_id')}), s AS ({shingles_of('n')}), h AS (SELECT id, {fnv('g')} AS h FROM (SELECT DISTINCT id, unnest(s) AS g FROM s))
-SELECT id AS item_id, count(*) AS n, min(h) AS lo, max(h) AS hi, sum({mix('h')})::BIGINT AS mixed FROM h GROUP BY id""",
+    "fnv_shingle_hash": f"""WITH n AS ({norm_of('documents', 'doc_id')}), s AS ({shingles_of('n')}), h AS (SELECT id, {fnv('g')} AS h FROM (SELECT DISTINCT id, unnest(s) AS g FROM s))
+SELECT id AS doc_id, count(*) AS n, min(h) AS lo, max(h) AS hi, sum({mix('h')})::BIGINT AS mixed FROM h GROUP BY id""",
     "minhash_signature": f"WITH {DOCS} SELECT dn.id AS doc_id, array_to_string(sig, ',') AS signature FROM dn LEFT JOIN dsig ON dn.id = dsig.id",
     "lsh_band_keys": f"WITH {DOCS} SELECT id AS doc_id, {_keys} AS band_keys FROM dband GROUP BY id",
     "lsh_candidate_pairs": f"WITH {PAIRS} SELECT a, b FROM cand",

@@ -1,6 +1,9 @@
 """Text, sketches, sequences, digests and redaction, by golden values and by example."""
 
 import json
+import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -174,3 +177,46 @@ def test_tokens_are_replaced_where_they_stand(spark):
 def test_findings_cap(spark):
     found = values(spark, redact.findings(F.col("x")), " ".join(["AK" + "IA" + "ABCDEFGH12345678"] * 80 + ["gh" + "p_" + "a1B2" * 6] * 5))[0]
     assert [f["pattern"] for f in found].count("p3") == 51 and [f["pattern"] for f in found].count("p5") == 1
+
+
+def _python(pattern):
+    """A fixed pattern for Python's re, by its plain reading."""
+    space = re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", text.JS_SPACE)
+    p = pattern.replace(r"[^\s", f"[^{space}").replace(r"\s", f"[{space}]")
+    return re.compile(p, re.ASCII)
+
+
+def _plain_normalized(t):
+    out = t.lower()
+    for p, to in text.REPLACEMENTS:
+        out = _python(p).sub(to, out)
+    return out.strip(" ")
+
+
+def test_patterns_match_their_plain_reading(spark):
+    rng = random.Random(11)
+    bits = ["a", "f0", "-", "_", ".", "@", "/", "~", "..", "md", ".md", "x.py", " ", "12", "2024-01-02", "1/2/24", "c:\\", "deadbeef", "é", "A", "sk-", "eyJ", "token=", "bearer ", "AKIA", "0123456789abcdef", "\u00a0", "http://", "'"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    texts += ["a.md-b.md", "-a.md", "--a.md", "a@b.cc_d@e.ff", "..../a/b", "~/x/y/", "x" * 50 + "@", "12345678-", "-12345678", "a1.md1", "é.md"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id INT, t STRING")
+    cols = [F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(f"p{i}") for i, p in enumerate(redact.JAVA_PATTERNS)]
+    got = df.select("id", text.normalized(F.col("t")).alias("norm"), F.regexp_extract_all("t", F.lit(redact.JAVA_TOKEN), F.lit(0)).alias("tokens"), *cols).collect()
+    plain = [_python(p) for p in redact.PATTERNS]
+    for r in got:
+        t = texts[r["id"]]
+        assert r["norm"] == _plain_normalized(t), t
+        assert r["tokens"] == re.findall(redact.ENTROPY_TOKEN, t)
+        for i, p in enumerate(plain):
+            assert r[f"p{i}"] == [m.group() for m in p.finditer(t)], (t, i)
+
+
+def test_long_runs_take_linear_time(spark):
+    n = 1 << 20
+    runs = ["a", "-", "/", "a-", "a/", "0", "f", "a.", "@", "a@", "=", "_-", "~", "..", "Ab1"]
+    df = spark.createDataFrame([((r * n)[:n],) for r in runs], "t STRING").repartition(1).cache()
+    df.count()
+    for c in (text.normalized(F.col("t")), redact.redacted(F.col("t")), F.size(redact.findings(F.col("t"))).cast("string")):
+        began = time.perf_counter()
+        df.select(F.length(c)).collect()
+        assert time.perf_counter() - began < len(runs)  # seconds: one for each text
+    df.unpersist()
