@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..sources.scratch import Scratch, remove, shared_dir
+from ..sources.spread import spread
 
-__all__ = ["ASCII_SPACE", "Scratch", "ascii_lower", "components", "hash128", "map_blocks", "remove", "shared_dir", "table", "tokenizer_path"]
+__all__ = ["ASCII_SPACE", "Scratch", "SortedTable", "ascii_lower", "components", "free_names", "hash128", "map_blocks", "remove", "shared_dir", "spread", "table", "tokenizer_path"]
 
 #: White space of ASCII: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -26,6 +28,34 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has in any case, so that a caller's columns are never taken for ours."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        k = 0
+        while f"_{n}_{k}".lower() in taken:
+            k += 1
+        out.append(f"_{n}_{k}")
+    return out
+
+
+class SortedTable:
+    """A table in the shared folder, bucketed and sorted by its keys: joins of two of them on the keys need no shuffle."""
+
+    def __init__(self, scratch: Scratch, df: DataFrame, keys: list[str], buckets: int, name: str):
+        self.scratch, self.name, self.path = scratch, f"{name}_{uuid.uuid4().hex}", scratch.path(name)
+        # rows that are dealt by the keys already, as after a join of such tables, are not dealt again
+        df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", self.path).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.scratch.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.scratch.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.scratch.spark, self.path)
+
+
 def hash128(*cols: Column) -> list[Column]:
     """Two independent 64-bit hashes, together a key that different values don't share in practice."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)]

@@ -1,23 +1,26 @@
 """Line dedup over levelled sorted runs of line hashes; DataFrame operations only.
 
-A run is a table (h1, h2, n_docs, last_doc) sorted by the 128-bit line hash. Each batch of documents is
-anti-joined with the runs, adds its own run, and ``fanout`` runs of a level are compacted into one of the next.
-Batches hold disjoint sets of doc_id, so counts add up over runs.
+A run is a table (h1, h2, n_rows, n_docs, last_doc), bucketed and sorted by the 128-bit line hash. Each batch of documents is
+merge-anti-joined with the runs: keys in none of them are its own new run, counts of the others are added to the table of
+updates. So a key is in one run only, and runs of a level are compacted by merging, without adding up. Batches
+hold disjoint sets of doc_id, so counts add up over batches. Joins among runs, batches and updates need no shuffle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch, ascii_lower, hash128, table
+from .common import ASCII_SPACE, Scratch, SortedTable, ascii_lower, free_names, hash128, spread, table
 
 MIN_POINTS = 20
 MIN_DOCS = 3
 BATCHES = 3
 FANOUT = 2
+#: Keys with at least one in so many of all lines are hot: there can't be more of them than this, so they are broadcast.
+HOT_SHARE = 10_000
+KEY = ["h1", "h2"]
+COUNTS = ("n_rows", "n_docs", "last_doc")
 
 
 def line_key(line: Column) -> Column:
@@ -37,79 +40,128 @@ def keyed_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled sorted runs in the shared folder."""
+    """Levelled sorted runs in the shared folder, and the counts that later batches add to their keys."""
 
     def __init__(self, scratch: Scratch, fanout: int = FANOUT):
-        self.scratch, self.fanout, self.levels = scratch, fanout, []
+        self.scratch, self.fanout = scratch, fanout
+        self.buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[SortedTable]] = []
+        self.updates: SortedTable | None = None
 
     @property
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[SortedTable]:
         return [r for level in self.levels for r in level]
 
-    def _write(self, df: DataFrame, level: int) -> None:
+    def _save(self, df: DataFrame, name: str) -> SortedTable:
+        return SortedTable(self.scratch, df, KEY, self.buckets, name)
+
+    def _add_run(self, run: SortedTable, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        n = int(self.scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-        run = df.repartition(n, "h1").sortWithinPartitions("h1", "h2")
-        self.levels[level].append(self.scratch.save(run, f"run{level}"))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self._merged(full), level + 1)
-            self.scratch.drop(*full)
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def novel(self, keys: DataFrame) -> DataFrame:
-        """The rows of ``keys`` (h1, h2, ...) in no run so far: a merge anti-join with each run."""
-        return reduce(lambda k, run: k.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti"), self.runs, keys)
+            merged = full[0]
+            for other in full[1:]:
+                # keys of runs are disjoint: the full outer join is a merge, bucket by bucket
+                both = merged.read().alias("a").join(other.read().hint("merge").alias("b"), KEY, "full_outer")
+                new = self._save(both.select(*KEY, *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in COUNTS]), "run")
+                merged.drop()
+                other.drop()
+                merged = new
+            self._add_run(merged, level + 1)
+
+    def _add_updates(self, known: DataFrame) -> None:
+        if self.updates is None:
+            self.updates = self._save(known, "updates")
+            return
+        both = self.updates.read().alias("a").join(known.hint("merge").alias("b"), KEY, "full_outer")
+        total = [(F.coalesce(f"a.{c}", F.lit(0)) + F.coalesce(f"b.{c}", F.lit(0))).alias(c) for c in COUNTS[:2]]
+        new = self._save(both.select(*KEY, *total, F.greatest("a.last_doc", "b.last_doc").alias("last_doc")), "updates")
+        self.updates.drop()
+        self.updates = new
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch of keyed lines. Keys in no run come from the anti-join; for known ones only counts are added."""
-        own = lines.where("doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        if self.runs:
-            own = self.scratch.save(own, "batch")
-            known = reduce(lambda k, run: k.join(run.select("h1", "h2"), ["h1", "h2"], "left_semi"), [self._merged(self.runs)], own)
-            self._write(self.novel(own).unionByName(known), 0)
-            self.scratch.drop(own)
-        else:
-            self._write(own, 0)
+        """Add a batch of keyed lines; the merge anti-join with all runs decides which keys are its new run."""
+        per_doc = lines.groupBy(*KEY, "doc_id").agg(F.count("*").alias("n_rows"))
+        own = per_doc.groupBy(*KEY).agg(F.sum("n_rows").alias("n_rows"), F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        # dealt here, so that each bucket is one sorted file
+        own = self._save(own.repartition(self.buckets, *KEY), "batch")
+        if not self.runs:
+            self._add_run(own, 0)
+            return
+        novel = own.read()
+        for run in self.runs:
+            novel = novel.join(run.read().select(*KEY).hint("merge"), KEY, "left_anti")
+        known = [own.read().join(run.read().select(*KEY).hint("merge"), KEY, "left_semi") for run in self.runs]
+        for part in known:  # runs are disjoint, so a known key is in one part
+            self._add_updates(part)
+        self._add_run(self._save(novel, "run"), 0)
+        own.drop()
 
     def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """(h1, h2, last_doc) of keys in at least ``min_docs`` documents."""
-        return self._merged(self.runs).where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+        """(h1, h2, n_rows, last_doc) of keys in at least ``min_docs`` documents."""
+        out = None
+        for run in self.runs:
+            r = run.read()
+            if self.updates is not None:
+                u = self.updates.read().select(*KEY, *[F.col(c).alias(f"u_{c}") for c in COUNTS])
+                r = r.join(u.hint("merge"), KEY, "left")
+                r = r.withColumns({c: F.col(c) + F.coalesce(f"u_{c}", F.lit(0)) for c in COUNTS[:2]} | {"last_doc": F.greatest("last_doc", "u_last_doc")})
+            r = r.where(F.col("n_docs") >= min_docs).select(*KEY, "n_rows", "last_doc")
+            out = r if out is None else out.unionByName(r)
+        return out
+
+    def drop(self) -> None:
+        for t in [*self.runs, *([self.updates] if self.updates else [])]:
+            t.drop()
+
+
+def _lines_that_go(lines: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``lines`` whose key is in ``keys`` (h1, h2, n_rows, last_doc) and whose document isn't the key's last one.
+
+    Hot keys are joined by broadcast, at most HOT_SHARE rows; what is left has no key with more than that share of the lines.
+    """
+    keys = scratch.save(keys, "repeated")
+    hot = lines.count() / HOT_SHARE
+    few = F.broadcast(keys.where(F.col("n_rows") > hot).select(*KEY, F.col("last_doc").alias("hot_last")))
+    met = lines.join(few, KEY, "left")
+    own = F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc"))
+    by_hot = met.where("hot_last IS NOT NULL").withColumnRenamed("hot_last", "last_doc").where(own)
+    rest = met.where("hot_last IS NULL").drop("hot_last").join(keys.where(F.col("n_rows") <= hot).select(*KEY, "last_doc"), KEY).where(own)
+    return by_hot.unionByName(rest)
 
 
 def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """Drop lines whose key is in at least ``min_docs`` documents, but not in the largest doc_id that holds it.
 
-    Adds to every row of ``docs`` n_lines, n_dropped and kept_text; other columns stay, same-named ones are replaced.
-    Null or empty text: one empty line, kept. A null doc_id counts as no document and never holds a key, so its
-    repeated lines go. Rows that repeat a doc_id count as one document. Lines of the holder stay, repeats included.
-    An empty table gives no rows. No length limit.
+    Adds to every row of ``docs`` n_lines, n_dropped and kept_text; other columns stay, whatever their names, and same-named
+    ones are replaced. Null or empty text: one empty line, kept. A null doc_id counts as no document and never holds a key,
+    so its repeated lines go. Rows that repeat a doc_id count as one document. Lines of the holder stay, repeats
+    included. An empty table gives no rows. No length limit.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
+    d, u1, u2, gone_at = free_names(docs, "d", "t1", "t2", "gone")
     slim = docs.select("doc_id", "text")
     lines = scratch.save(keyed_lines(slim, min_points), "lines")
     runs = LineRuns(scratch, fanout)
     for b in range(batches):
         runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
-    keys = runs.repeated(min_docs)
-    gone = lines.join(keys, ["h1", "h2"]).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc")))
-    gone = gone.groupBy(F.col("doc_id").alias("_d"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).agg(F.collect_set("pos").alias("_gone"))
+    gone = _lines_that_go(lines, runs.repeated(min_docs), scratch)
+    gone = gone.groupBy(F.col("doc_id").alias(d), F.col("t1").alias(u1), F.col("t2").alias(u2)).agg(F.collect_set("pos").alias(gone_at))
     t1, t2 = hash128(F.coalesce("text", F.lit("")))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left")
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (t1 == F.col(u1)) & (t2 == F.col(u2)), "left")
     lines_c = lines_of(F.col("text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines_c) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines_c, i)), "\n"))
-    return joined.withColumns({"n_lines": F.size(lines_c).cast("long"), "n_dropped": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"), "kept_text": text}).drop("_d", "_t1", "_t2", "_gone")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines_c) - 1), F.col(gone_at))
+    text = F.when(F.col(gone_at).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines_c, i)), "\n"))
+    return joined.withColumns({"n_lines": F.size(lines_c).cast("long"), "n_dropped": F.when(F.col(gone_at).isNull(), 0).otherwise(F.size(gone_at)).cast("long"), "kept_text": text}).drop(d, u1, u2, gone_at)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """One row for each document: doc_id, n_lines, n_dropped, kept_sha256; rules and edge cases as in ``dedup_lines``."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -392,6 +392,38 @@ def test_lines(spark, batches, fanout):
     assert got == sorted(brute9(list(zip(ids, texts))), key=repr)
 
 
+def test_lines_runs_hold_each_key_once(spark):
+    from recurra.llm.common import Scratch
+
+    texts = corpus(11, 60)
+    lines = Scratch(spark).save(line_dedup.keyed_lines(frame(spark, texts), 3), "lines")
+    runs = line_dedup.LineRuns(Scratch(spark), fanout=2)
+    for b in range(5):
+        runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == b))
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    keys = [(r["h1"], r["h2"]) for run in runs.runs for r in run.read().collect()]
+    assert len(keys) == len(set(keys)) == lines.select("h1", "h2").distinct().count()
+    known = {(r["h1"], r["h2"]): r["n_docs"] for r in runs.updates.read().collect()}
+    assert known and set(known) <= set(keys)
+
+
+#: Names that columns of ours have had, or could be taken for.
+CLASHES = ("_d", "_t", "_t1", "_t2", "_gone", "_d_0", "_GONE_0", "_t1_0", "_spans", "_items", "_spans_0", "cands", "_text", "_text_0", "_g0", "_c0", "key", "h1", "pos", "n")
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+
+
+def keeps_clashing(out):
+    row = out.first()
+    return all(row[c] == f"own {c}" for c in CLASHES)
+
+
+def test_lines_clashing_columns(spark):
+    assert keeps_clashing(line_dedup.dedup_lines(clashing(frame(spark, corpus(12, 8)))))
+
+
 def test_lines_empty(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
