@@ -40,9 +40,9 @@ def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def coded(seq: Column, symbols: list[str]) -> Column:
-    """A sequence over a known, small set of symbols as a string, one code point for each symbol."""
-    table = F.create_map(*[x for i, s in enumerate(symbols) for x in (F.lit(s), F.lit(chr(0x4E00 + i)))])
-    return F.array_join(F.transform(F.slice(seq, 1, MAX_SYMBOLS), lambda s: table[s]), "")
+    """A sequence over a known, small set of symbols as a string, one code point for each symbol; null is a symbol too."""
+    table = F.create_map(*[x for i, s in enumerate(symbols) if s is not None for x in (F.lit(s), F.lit(chr(0x4E00 + i)))])
+    return F.array_join(F.transform(F.slice(seq, 1, MAX_SYMBOLS), lambda s: F.when(s.isNull(), chr(0x4DFF)).otherwise(table[s])), "")
 
 
 def coded_similarity(a: Column, b: Column) -> Column:

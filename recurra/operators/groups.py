@@ -12,6 +12,7 @@ from ..functions.sketch import POSITIONS, bands, est_jaccard
 from ..functions.text import title_hint
 from ..sources.scratch import Scratch
 from .components import components
+from .skew import join_lookup
 
 
 def banded(items: DataFrame) -> DataFrame:
@@ -57,38 +58,45 @@ def similar_groups(items: DataFrame, rules: Rules, scratch: Scratch) -> DataFram
 
 
 def medoids(members: DataFrame) -> DataFrame:
-    """members (root, id, sig) -> (root, medoid, score).
+    """members (root, id, sig), written ones, -> (root, medoid, score).
 
     score: the sum of estimates with all other members; the smallest id wins ties. The sum is counted by
-    position and value, so it takes members x positions rows and no pairs within the group.
+    position and value, so it takes members x positions rows and no pairs within the group; values that a large
+    group shares are looked up where its rows are.
     """
     cells = members.select("root", "id", F.posexplode("sig").alias("pos", "v"))
-    counts = cells.groupBy("root", "pos", "v").agg(F.count("*").alias("n"))
-    score = cells.join(counts, ["root", "pos", "v"]).groupBy("root", "id").agg((F.sum(F.col("n") - 1) / float(POSITIONS)).alias("score"))
+    counts = cells.groupBy("root", "pos", "v").agg(F.count("*").alias("n")).withColumn("rows", F.col("n"))
+    total = members.where("sig IS NOT NULL").count() * POSITIONS
+    score = join_lookup(cells, counts, ["root", "pos", "v"], "rows", total).groupBy("root", "id").agg((F.sum(F.col("n") - 1) / float(POSITIONS)).alias("score"))
     best = score.groupBy("root").agg(F.min_by("id", F.struct(-F.col("score"), "id")).alias("medoid"), F.max("score").alias("score"))
     return best
 
 
-def described_groups(sessions: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
-    """sessions (session_id, project, started_at, ended_at, prompts, tool_seq, minhash) -> one row for each group:
+def group_facts(members: DataFrame, rules: Rules) -> DataFrame:
+    """members (root, id, day, project) -> (root, size, first_day, last_day, n_days, qualified, project)."""
+    facts = members.groupBy("root").agg(
+        F.count("*").cast("int").alias("size"),
+        F.min("day").alias("first_day"),
+        F.max("day").alias("last_day"),
+        F.count_distinct("day").alias("n_days"),
+        F.min_by("project", "id").alias("project"),
+    )
+    return facts.withColumn("qualified", (F.col("size") >= rules.min_sessions) & (F.col("n_days") >= rules.min_days))
+
 
-    root, members (sorted), first_day, last_day, n_days, qualified, medoid, project, fingerprint, title_hint.
+def described_groups(sessions: DataFrame, rules: Rules, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """sessions (session_id, project, started_at, ended_at, prompts, tool_seq, minhash) -> facts, a row for each group:
+
+    root, size, first_day, last_day, n_days, qualified, medoid, project, fingerprint, title_hint; and members (root, session_id),
+    a row for each, so that no group has to fit a row.
     """
     project = F.coalesce(F.expr("nullif(project, '')"), F.lit("unknown"))
     scope = F.lit("") if rules.cross_project else project
     start = F.coalesce(F.expr("nullif(started_at, '')"), F.expr("nullif(ended_at, '')"))
     day = F.when(F.length(start) >= 10, F.substring(start, 1, 10))
     s = sessions.select(F.col("session_id").alias("id"), F.col("minhash").alias("sig"), F.col("tool_seq").alias("seq"), scope.alias("scope"), project.alias("project"), day.alias("day"), "prompts")
-    label = scratch.save(similar_groups(s, rules, scratch), "groups")
-    m = label.join(s, "id")
-    facts = m.groupBy("root").agg(
-        F.array_sort(F.collect_list("id")).alias("members"),
-        F.min("day").alias("first_day"),
-        F.max("day").alias("last_day"),
-        F.count_distinct("day").alias("n_days"),
-        F.min_by("project", "id").alias("project"),
-    )
-    facts = facts.withColumn("qualified", (F.size("members") >= rules.min_sessions) & (F.col("n_days") >= rules.min_days))
+    label = similar_groups(s, rules, scratch)
+    m = scratch.save(label.join(s.select("id", "sig", "project", "day"), "id"), "members")
     med = medoids(m.select("root", "id", "sig")).join(s.select(F.col("id").alias("medoid"), "prompts", "seq"), "medoid")
     med = med.select("root", "medoid", cluster_fingerprint(F.col("prompts"), F.col("seq")).alias("fingerprint"), title_hint(F.get("prompts", F.lit(0))).alias("title_hint"))
-    return facts.join(med, "root")
+    return group_facts(m, rules).join(med, "root"), m.select("root", F.col("id").alias("session_id"))

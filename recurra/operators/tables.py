@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CLUSTER_PRIORITY
+from ..sources.scratch import Scratch
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,9 +24,26 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def numbered(new: DataFrame, order: list[Column], start: int, column: str) -> DataFrame:
-    """Surrogate ids without gaps after ``start``. For tables of clusters, which are small beside sessions."""
-    return new.withColumn(column, (F.row_number().over(Window.orderBy(*order)) + F.lit(start)).cast("bigint"))
+def numbered(rows: DataFrame, scratch: Scratch, by: list[str], out: str, within: str | None = None) -> DataFrame:
+    """A number from 0 without gaps in the order of ``by``, within each value of ``within`` if that is given.
+
+    No task gets all rows, nor a whole value: rows are range-partitioned, written with their partition's number, counted for
+    each partition, and numbered from the sum of the counts before it. The counts have partitions x values rows.
+    """
+    keys = [within] if within else []
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = scratch.save(rows.repartitionByRange(n, *keys, *by).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = part.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy(*keys, "_part").orderBy(*by)
+    row = part.withColumn("_row", F.row_number().over(own) - 1)
+    return row.join(starts, [*keys, "_part"]).withColumn(out, F.col("_start") + F.col("_row")).drop("_part", "_row", "_start")
+
+
+def status_counts(sessions: DataFrame) -> DataFrame:
+    """(status, n)."""
+    return sessions.groupBy("status").agg(F.count("*").alias("n"))
 
 
 def to_index(listing: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -34,10 +52,19 @@ def to_index(listing: DataFrame, sessions: DataFrame) -> DataFrame:
     return listing.join(known, "session_id", "left").where("_known IS NULL OR size > _bytes").drop("_known", "_bytes")
 
 
+def sweep(todo: DataFrame, limit: int) -> DataFrame:
+    """The oldest ``limit`` sessions of ``todo`` (session_id, transcript_path, mtime), each with its latest file."""
+    return latest(todo, ["session_id"], [F.desc("mtime"), F.asc("transcript_path")]).orderBy("mtime", "session_id").limit(limit)
+
+
+def evidence(members: DataFrame, sessions: DataFrame) -> DataFrame:
+    """members (cluster_id, session_id) with what is known of each session; one that is gone shows with its ids only."""
+    return members.join(sessions.select("session_id", "project", "started_at", "ended_at", "transcript_path", "prompts", "tool_seq"), "session_id", "left")
+
+
 def overlaps(groups: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
-    """(root, cluster_id, overlap): stored clusters that share members with a group."""
-    g = groups.select("root", F.explode("members").alias("session_id"))
-    return g.join(members, "session_id").join(clusters.select("cluster_id"), "cluster_id").groupBy("root", "cluster_id").agg(F.count("*").alias("overlap"))
+    """(root, cluster_id, overlap): stored clusters that share members (cluster_id, session_id) with groups (root, session_id)."""
+    return groups.join(members, "session_id").join(clusters.select("cluster_id"), "cluster_id").groupBy("root", "cluster_id").agg(F.count("*").alias("overlap"))
 
 
 def winners(over: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -24,7 +24,9 @@ from ..sources.scratch import Scratch
 from ..sources.store import Store
 
 SWEEP = 500
-SUMMARY = ("fingerprint", "status", "session_count", "first_day", "last_day", "project", "title_hint", "blueprint_id", "last_pushed_checksum")
+SUMMARY = ("fingerprint", "status", "sessions", "first_day", "last_day", "project", "title_hint", "blueprint_id")
+#: Transcripts that are read at once: the driver holds so many paths.
+BLOCK = 5000
 FIELD_TYPES = ("short_text", "long_text", "file", "date", "dropdown")
 _KEYS = {"proposal_version", "source", "fingerprint", "title", "summary", "kickoff_fields", "steps"}
 
@@ -69,6 +71,30 @@ def problems(draft: dict) -> list[str]:
     return out
 
 
+def _is_date(value: str) -> bool:
+    for form in ("%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%m/%d/%Y", "%d %B %Y", "%B %d, %Y"):
+        try:
+            datetime.strptime(value.strip(), form)
+            return True
+        except ValueError:
+            continue
+    return False
+
+
+def derived_field(label: str, observed: list[str]) -> dict:
+    """A kick-off field from the values seen for one input (O7): rules in order; a dropdown has exactly the values seen."""
+    values = list(dict.fromkeys(observed))
+    if values and all(map(_is_date, values)):
+        kind = "date"
+    elif values and all(re.fullmatch(r"(?:\S*[/\\])?[\w.-]+\.[A-Za-z0-9]{1,5}", v) for v in values):
+        kind = "file"
+    elif 2 <= len(values) <= 8 and len(values) < len(observed):
+        return {"label": label, "type": "dropdown", "options": values}
+    else:
+        kind = "short_text" if all(len(v) <= 100 and "\n" not in v for v in values) else "long_text"
+    return {"label": label, "type": kind, "options": []}
+
+
 def leaves(value) -> list[str]:
     """All texts in a JSON value, keys too."""
     if isinstance(value, str):
@@ -81,7 +107,8 @@ def leaves(value) -> list[str]:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, config_path: str | None = None, clock=None):
+    def __init__(self, spark: SparkSession, root: str, config_path: str | None = None, clock=None, log_path: str | None = None):
+        self.log = log_to(log_path) if log_path else logging.getLogger("recurra")
         self.spark, self.root, self.config_path = spark, root, config_path or f"{root}/config.json"
         self.store = Store(spark, root)
         self.clock = clock or (lambda: datetime.now(UTC))
@@ -112,19 +139,29 @@ class Engine:
 
     # -- writing
 
-    def index(self, entries: DataFrame) -> None:
-        """Entries (session_id, transcript_path, cwd), one for each session, into the table of sessions."""
+    def index(self, entries: DataFrame, block: int = BLOCK) -> None:
+        """Entries (session_id, transcript_path, cwd), one for each session, into the table of sessions.
+
+        Spark's reader takes its paths from the driver, so transcripts are read ``block`` at a time; the table is written once.
+        """
         scratch = Scratch(self.spark)
-        parsed = transcripts.parsed(self.spark, entries)
-        rows = scratch.save(index.session_rows(entries, parsed, self.rules, self.now()), "sessions")
+        entries = scratch.save(entries.select("session_id", "transcript_path", "cwd"), "entries")
+        n = entries.count() // block + 1
+        rows = None
+        for k in range(n):
+            some = entries.where(F.pmod(F.xxhash64("session_id"), F.lit(n)) == k) if n > 1 else entries
+            part = scratch.save(index.session_rows(some, transcripts.parsed(self.spark, some), self.rules, self.now()), "sessions")
+            rows = part if rows is None else rows.unionByName(part)
         self.store.write("sessions", tables.upsert(self.store.read("sessions"), rows, ["session_id"]))
+        for r in rows.groupBy("status").count().collect():
+            self.log.info("indexed: %s %s", r["count"], r["status"])
 
     def recluster(self) -> None:
         """Groups of all indexed sessions anew, then reconciled with the stored clusters."""
         scratch = Scratch(self.spark)
-        found = groups.described_groups(self.store.read("sessions").where("status = 'indexed'"), self.rules, scratch)
-        found = scratch.save(found, "groups")
-        clusters, members = lifecycle.reconcile(self.spark, found, self.store.read("clusters"), self.store.read("members"), self.now())
+        facts, fresh = groups.described_groups(self.store.read("sessions").where("status = 'indexed'"), self.rules, scratch)
+        fresh = scratch.save(fresh, "fresh")
+        clusters, members = lifecycle.reconcile(facts, fresh, self.store.read("clusters"), self.store.read("members"), self.now(), scratch)
         members = scratch.save(members, "members")
         self.store.write("clusters", clusters)
         self.store.write("members", members)
@@ -135,12 +172,16 @@ class Engine:
         self.index(last)
 
     def run(self, queue_dir: str | None = None, projects_root: str | None = None, deep: bool = False) -> dict:
+        self.log.info("run: %s", "deep" if deep else "queue")
         remaining = self.meta("deep_remaining")
-        if queue_dir and any(Path(queue_dir).glob("*.json")):
-            taken = list(Path(queue_dir).glob("*.json"))
-            self.drain(queue.queued(self.spark, queue_dir))
-            for f in taken:  # once only, whether it could be read or not
-                f.unlink(missing_ok=True)
+        taken = queue.files(self.spark, queue_dir) if queue_dir else []
+        if taken:
+            batch = Scratch(self.spark).save(queue.queued(self.spark, queue_dir), "queue")
+            bad = len(taken) - batch.select("file").distinct().count()
+            if bad:
+                self.log.error("queue: %s entries of %s could not be read or have no session id", bad, len(taken))
+            self.drain(batch)
+            queue.remove(self.spark, taken)  # once only, whether it could be read or not
         if deep and projects_root:
             remaining = self.sweep(projects_root)
         self.recluster()
@@ -151,7 +192,7 @@ class Engine:
         """The oldest transcripts that are unknown or have grown; returns how many are left."""
         todo = tables.to_index(transcripts.listing(self.spark, projects_root), self.store.read("sessions").select("session_id", "content_bytes"))
         todo = Scratch(self.spark).save(todo, "todo")
-        batch = tables.latest(todo, ["session_id"], [F.desc("mtime"), "transcript_path"]).orderBy("mtime", "session_id").limit(limit)
+        batch = tables.sweep(todo, limit)
         self.index(batch.select("session_id", transcripts.plain_path("transcript_path").alias("transcript_path"), F.lit(None).cast("string").alias("cwd")))
         return max(0, todo.count() - limit)
 
@@ -191,18 +232,24 @@ class Engine:
 
     # -- reading
 
+    def session(self, session_id: str) -> DataFrame:
+        """The row of one session (S7); no row if it is unknown."""
+        return self.store.read("sessions").where(F.col("session_id") == session_id)
+
     def doctor(self) -> dict:
         return {"spark": pyspark.__version__, "python": platform.python_version(), "data_dir": self.root, "config": self.config}
 
     def summaries(self, *statuses: str) -> DataFrame:
+        """Clusters by age (P14), of ``statuses`` if any are given."""
         c = self.store.read("clusters").orderBy("cluster_id")
-        return (c.where(F.col("status").isin(*statuses)) if statuses else c).select(*SUMMARY)
+        c = c.where(F.col("status").isin(*statuses)) if statuses else c
+        return c.withColumnRenamed("session_count", "sessions").withColumn("blueprint_id", F.expr("nullif(blueprint_id, '')")).select(*SUMMARY)
 
     def pending(self) -> DataFrame:
         return self.summaries("candidate", "proposed")
 
     def status(self) -> dict:
-        counts = {r[0]: r[1] for r in self.store.read("sessions").groupBy("status").count().collect()}
+        counts = {r[0]: r[1] for r in tables.status_counts(self.store.read("sessions")).collect()}
         rows = [r.asDict() for r in self.summaries().collect()]
         failed = counts.get("parse_failed", 0)
         return {
@@ -216,8 +263,8 @@ class Engine:
     def cluster(self, fingerprint: str) -> DataFrame:
         """Members with their evidence; a session that is gone shows with its id only."""
         c = self.store.read("clusters").where(F.col("fingerprint") == fingerprint)
-        m = c.select("cluster_id").join(self.store.read("members"), "cluster_id").select("session_id")
-        out = m.join(self.store.read("sessions").select("session_id", "project", "started_at", "ended_at", "transcript_path", "prompts", "tool_seq"), "session_id", "left")
+        m = c.select("cluster_id").join(self.store.read("members"), "cluster_id").select("cluster_id", "session_id")
+        out = tables.evidence(m, self.store.read("sessions")).drop("cluster_id")
         paths = [r[0] for r in out.where("transcript_path IS NOT NULL").select("transcript_path").distinct().collect()]  # of one cluster
         there = transcripts.on_disk(self.spark, paths)
         return out.withColumn("transcript_still_on_disk", F.coalesce(F.col("transcript_path").isin(there), F.lit(False))).orderBy("session_id")

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Rules
 from ..functions import digests, redact, sketch, text
 from ..functions.sequences import coded, coded_similarity, sequence_similarity
-from ..operators import groups, tables
+from ..operators import groups, index, tables
+from ..schemas import CLUSTERS, SESSIONS
 from ..sources.scratch import Scratch
 from ..sources.spread import spread
 from ..sources.transcripts import fold_file
+from .engine import Engine
 
 #: Documents have no tool sequences and are compared across sources.
 DOC_RULES = Rules(prompt_jaccard=0.5, tool_sequence=0.0, cross_project=True)
 
 
-#: With more symbols than this, sequences are compared as arrays instead of coded strings.
+#: Sequences are coded as strings over at most so many symbols.
 MOST_SYMBOLS = 1000
 
 
@@ -55,21 +59,6 @@ def conversation_title_hint(spark, sf_dir):
     return _prompts(spark, sf_dir).select("conv_id", text.title_hint(F.get("prompts", F.lit(0))).alias("title_hint"))
 
 
-def conversation_fold(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
-    return c.groupBy("conv_id").agg(
-        F.count("*").alias("line_count"),
-        F.count_if(user).alias("prompt_count"),
-        F.count_if(assistant).alias("answer_count"),
-        F.count_if(~user & ~assistant).alias("other_types"),
-        F.min("turn").alias("first_turn"),
-        F.max("turn").alias("last_turn"),
-        F.min_by("text", F.when(user, F.col("turn"))).alias("first_prompt"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"),
-    )
-
-
 def _transcripts(spark, sf_dir) -> DataFrame:
     """Conversations as transcripts: users' turns as prompts, assistants' turns as calls of one of three tools."""
     c = read(spark, sf_dir, "conversations")
@@ -92,13 +81,6 @@ def transcript_fold(spark, sf_dir):
     )
 
 
-def trivial_conversations(spark, sf_dir):
-    """Fewer prompts than asked for, or no answer and a short span (here: turns for seconds)."""
-    f = conversation_fold(spark, sf_dir)
-    trivial = (F.col("prompt_count") < 1) | ((F.col("answer_count") == 0) & (F.col("last_turn") - F.col("first_turn") < 2))
-    return f.select("conv_id", F.when(trivial, "trivial").otherwise("indexed").alias("status"))
-
-
 def wrapper_turns(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     return c.groupBy("role").agg(F.count("*").alias("turns"), F.count_if(text.is_wrapper(F.col("text"))).alias("wrappers"))
@@ -156,12 +138,12 @@ def near_dup_components(spark, sf_dir):
 
 def component_medoids(spark, sf_dir):
     items, label = _groups(spark, sf_dir)
-    return groups.medoids(label.join(items, "id").select("root", "id", "sig"))
+    return groups.medoids(Scratch(spark).save(label.join(items, "id").select("root", "id", "sig"), "members"))
 
 
 def component_fingerprints(spark, sf_dir):
     items, label = _groups(spark, sf_dir)
-    med = groups.medoids(label.join(items, "id").select("root", "id", "sig"))
+    med = groups.medoids(Scratch(spark).save(label.join(items, "id").select("root", "id", "sig"), "members"))
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("medoid"), "text")
     fp = digests.cluster_fingerprint(F.array("text"), F.array().cast("array<string>"))
     return med.join(docs, "medoid").select("root", "medoid", fp.alias("fingerprint"), text.title_hint(F.col("text")).alias("title_hint"))
@@ -212,10 +194,13 @@ def event_sequences(spark, sf_dir):
 
 
 def tool_seq_similarity(spark, sf_dir):
-    """Each user's sequence against the next user's, on the JVM: symbols become one code point each."""
-    kinds = [r[0] for r in read(spark, sf_dir, "events").where("event_type IS NOT NULL").select("event_type").distinct().orderBy("event_type").limit(MOST_SYMBOLS + 1).collect()]
+    """Each user's sequence against the next user's, on the JVM: symbols become one code point each.
+
+    Event types are a small closed set; ``tool_seq_similarity_arrays`` is the form for open ones.
+    """
+    kinds = [r[0] for r in read(spark, sf_dir, "events").select("event_type").distinct().orderBy(F.asc_nulls_first("event_type")).limit(MOST_SYMBOLS + 1).collect()]
     if len(kinds) > MOST_SYMBOLS:
-        return tool_seq_similarity_arrays(spark, sf_dir)
+        raise ValueError(f"more than {MOST_SYMBOLS} symbols: compare sequences as arrays")
     s = _sequences(spark, sf_dir).select("user_id", coded(F.col("seq"), kinds).alias("code"))
     following = s.select((F.col("user_id") - 1).alias("user_id"), F.col("user_id").alias("next_id"), F.col("code").alias("next_code"))
     return s.join(following, "user_id").select("user_id", "next_id", F.round(coded_similarity(F.col("code"), F.col("next_code")), 9).alias("similarity"))
@@ -236,22 +221,6 @@ def fingerprint_text(spark, sf_dir):
     return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", digests.fingerprint_text(F.col("text")).alias("fingerprint"))
 
 
-def qualified_users(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    g = e.groupBy("user_id").agg(F.count("*").alias("sessions"), F.count_distinct("day").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-    return g.where("sessions >= 3 AND days >= 2")
-
-
-def status_histogram(spark, sf_dir):
-    return read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-
-
-def cluster_counts(spark, sf_dir):
-    """Conditional counts over one pass."""
-    o = read(spark, sf_dir, "orders")
-    return o.groupBy("o_orderpriority").agg(*[F.count_if(F.col("o_orderstatus") == s).alias(f"n_{s.lower()}") for s in ("F", "O", "P")])
-
-
 def latest_per_key(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
     return tables.latest(o, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
@@ -273,24 +242,10 @@ def incremental_anti_join(spark, sf_dir):
     return tables.to_index(listing, stored)
 
 
-def unseen_customers(spark, sf_dir):
-    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
-
-
-def overlap_winner(spark, sf_dir):
-    """Parts of an order as members; suppliers as stored clusters with a status."""
-    li = read(spark, sf_dir, "lineitem")
-    status = F.expr("element_at(array('forming', 'candidate', 'dismissed', 'proposed', 'pushed'), cast(s_suppkey % 5 as int) + 1)")
-    clusters = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cluster_id"), status.alias("status"))
-    over = li.groupBy(F.col("l_orderkey").alias("root"), F.col("l_suppkey").alias("cluster_id")).agg(F.count("*").alias("overlap"))
-    w = tables.winners(over, clusters).where("rank = 1")
-    return w.select("root", "cluster_id", "status", "overlap")
-
-
 def surrogate_ids(spark, sf_dir):
-    n = read(spark, sf_dir, "nation").select("n_name")
-    return tables.numbered(n, [F.col("n_name")], 100, "cluster_id")
+    """K3 over the orders of customers: numbers without gaps after 100, in the order of customer and order."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return tables.numbered(o, Scratch(spark), ["o_custkey", "o_orderkey"], "k").select("o_orderkey", (F.col("k") + 101).alias("cluster_id"))
 
 
 def mark_transition(spark, sf_dir):
@@ -304,32 +259,146 @@ def mark_transition(spark, sf_dir):
     return tables.marked(tables.marked(c, first, "pushed", "t1", blueprint_id="b1"), last, "dismissed", "t2")
 
 
+def overlap_winner(spark, sf_dir):
+    """Parts of an order as members of a group, those of a supplier as a stored cluster's."""
+    li = read(spark, sf_dir, "lineitem")
+    status = F.expr("element_at(array('forming', 'candidate', 'dismissed', 'proposed', 'pushed'), cast(s_suppkey % 5 as int) + 1)")
+    clusters = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cluster_id"), status.alias("status"))
+    fresh = li.select(F.col("l_orderkey").alias("root"), F.col("l_partkey").alias("session_id")).distinct()
+    members = li.select(F.col("l_suppkey").alias("cluster_id"), F.col("l_partkey").alias("session_id")).distinct()
+    w = tables.winners(tables.overlaps(fresh, clusters, members), clusters).where("rank = 1")
+    return w.select("root", "cluster_id", "status", "overlap")
+
+
+def user_groups(spark, sf_dir):
+    """Users as groups of events."""
+    e = read(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    m = e.select(F.col("user_id").alias("root"), F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("project"))
+    return groups.group_facts(m, Rules()).withColumn("n_days", F.col("n_days").cast("bigint"))
+
+
 def session_durations(spark, sf_dir):
-    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    return e.select("user_id", F.greatest(F.lit(0), F.timestamp_diff("SECOND", "a", "b")).cast("bigint").alias("seconds"))
+    """P7's span, of the first and last event of each user."""
+    text_of = [F.date_format(f("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") for f in (F.min, F.max)]
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(text_of[0].alias("a"), text_of[1].alias("b"))
+    return e.select("user_id", F.round(index.duration_seconds(F.col("a"), F.col("b")), 3).alias("seconds"), index.duration_seconds(F.col("b"), F.lit("no time")).alias("none"))
 
 
 def ignored_pages(spark, sf_dir):
     """A plain prefix test, without a test of path boundaries."""
-    p = read(spark, sf_dir, "pages")
-    return p.select("page_id", F.coalesce(F.col("url").startswith("https://www.") | F.col("url").startswith("http://"), F.lit(False)).alias("ignored"))
+    rules = Rules(ignore_projects=("https://www.", "http://"))
+    return read(spark, sf_dir, "pages").select("page_id", index.is_ignored(F.col("url"), rules).alias("ignored"))
 
 
-def member_evidence(spark, sf_dir):
-    """Members of a cluster, left-joined, so that a missing one shows with its id only."""
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_nationkey").alias("cluster_id"))
-    o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("session_id")).agg(F.count("*").alias("orders"), F.max("o_orderkey").alias("last_order"))
-    return c.join(o, "session_id", "left").select("cluster_id", "session_id", "orders", "last_order")
+def sweep_batch(spark, sf_dir):
+    """Orders as transcripts of customers, of which some are stored as far as they were; the limit is the feature."""
+    o = read(spark, sf_dir, "orders")
+    listing = o.select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").cast("string").alias("transcript_path"), F.length("o_orderpriority").alias("size"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("mtime"))
+    stored = o.where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("session_id")).agg(F.min(F.length("o_orderpriority")).alias("content_bytes"))
+    return tables.sweep(tables.to_index(listing, stored), 500).select("session_id", "transcript_path", F.col("size").cast("bigint").alias("size"), "mtime")
 
 
-def sweep_batch(spark, sf_dir):
-    """The oldest 500 of what is left to do; the limit is the feature."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    return o.orderBy("day", "o_orderkey").limit(500)
+#: What the queries over conversations as sessions go by.
+SESSION_RULES = Rules(ignore_projects=("/w/p1",))
+
+
+def _raw_sessions(spark, sf_dir) -> DataFrame:
+    """Conversations as transcripts with all that a parser must bear: bad JSON, other values than objects, meta entries,
+
+    results of tools, content as text and as items; some conversations have no file, some a working folder of their own.
+    """
+    c = read(spark, sf_dir, "conversations")
+    conv, turn, said = F.col("conv_id"), F.col("turn"), F.col("text")
+    stamp = F.concat(F.lit("2026-01-0"), (conv % 9 + 1).cast("string"), F.lit("T00:0"), F.floor(turn / 2).cast("string"), F.lit(":"), F.when(turn % 2 == 0, "00").otherwise("30"), F.lit("Z"))
+    cwd = F.concat(F.lit("/w/p"), (conv % 4).cast("string"))
+
+    def entry(kind, message, *more):
+        return F.to_json(F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), stamp.alias("timestamp"), cwd.alias("cwd"), *message, *more))
+
+    def message(role, content):
+        return [F.struct(F.lit(role).alias("role"), content.alias("content")).alias("message")]
+
+    part = F.struct(F.lit("text").alias("type"), said.alias("text"))
+    result = F.struct(F.lit("tool_result").alias("type"), F.lit(None).cast("string").alias("text"))
+    use = F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("T"), (turn % 3).cast("string")).alias("name"), F.struct(turn.alias("k")).alias("input"))
+    user = (
+        F.when(turn % 5 == 4, entry("user", message("user", said), F.lit(True).alias("isMeta")))
+        .when(conv % 10 == 5, entry("user", message("user", F.array(part, result))))
+        .when(conv % 10 == 6, entry("user", message("user", F.array(part))))
+        .otherwise(entry("user", message("user", said)))
+    )
+    line = F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", entry("assistant", message("assistant", F.array(use)))).otherwise(entry(F.col("role"), []))
+    line = F.concat(line, F.when(conv % 10 == 3, "\n{oops\n[1]").when(conv % 10 == 4, '\n \n{"type":1}').otherwise(""))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
+    return c.groupBy("conv_id").agg(F.encode(F.array_join(lines, "\n"), "UTF-8").alias("content"))
+
+
+def _sessions(spark, sf_dir) -> DataFrame:
+    raw = _raw_sessions(spark, sf_dir)
+    path = F.concat(F.lit("/t/"), F.col("conv_id").cast("string"))
+    parsed = raw.where("conv_id % 11 <> 7").select(path.alias("transcript_path"), F.octet_length("content").cast("bigint").alias("content_bytes"), fold_file("content").alias("f")).select("transcript_path", "content_bytes", "f.*")
+    given = F.when(F.col("conv_id") % 13 == 5, "/w/p1x").when(F.col("conv_id") % 13 == 6, "/w/own")
+    entries = raw.select(F.col("conv_id").cast("string").alias("session_id"), F.when(F.col("conv_id") % 17 != 9, path).alias("transcript_path"), given.alias("cwd"))
+    return Scratch(spark).save(index.session_rows(entries, parsed, SESSION_RULES, "now"), "sessions")
+
+
+def session_index(spark, sf_dir):
+    """Whole transcripts, malformed ones too, to rows of sessions."""
+    s = _sessions(spark, sf_dir)
+    return s.select("session_id", "project", "cwd", "status", "started_at", "ended_at", F.col("prompt_count").cast("bigint").alias("prompt_count"), F.col("tool_call_count").cast("bigint").alias("tool_call_count"), F.sha2(F.array_join("prompts", "\n"), 256).alias("prompts_sha256"), F.array_join("tool_seq", ",").alias("tools"))
 
 
-def first_seen_window(spark, sf_dir):
-    """Running counts of a user's events by time."""
-    e = read(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select("event_id", "user_id", F.row_number().over(w).cast("bigint").alias("nth"))
+def session_status_counts(spark, sf_dir):
+    return tables.status_counts(_sessions(spark, sf_dir))
+
+
+def member_evidence(spark, sf_dir):
+    """A third of the members are sessions that are gone."""
+    c = read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    members = c.select((F.col("conv_id") % 7).alias("cluster_id"), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("gone"), F.col("conv_id").cast("string"))).otherwise(F.col("conv_id").cast("string")).alias("session_id"))
+    out = tables.evidence(members, _sessions(spark, sf_dir))
+    return out.select("cluster_id", "session_id", "project", "started_at", F.array_join("tool_seq", ",").alias("tools"))
+
+
+def _document_engine(spark, sf_dir) -> tuple[Engine, Scratch]:
+    """An engine whose store holds documents as indexed sessions: a prompt each, languages as projects, up to three tools, seven days."""
+    scratch = Scratch(spark)
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    blank = {"cwd": "string", "transcript_path": "string", "ended_at": "string", "tool_calls": SESSIONS["tool_calls"].dataType, "indexed_at": "string"}
+    s = d.select(
+        F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("session_id"),
+        "lang",
+        F.array("text").alias("prompts"),
+        F.slice(F.array(*map(F.lit, ("Read", "Bash", "Write"))), F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")).alias("tool_seq"),
+        F.concat(F.lit("2026-03-0"), (F.col("doc_id") % 7 + 1).cast("string"), F.lit("T00:00")).alias("started_at"),
+        sketch.signature(text.session_text(F.array("text"))).alias("minhash"),
+    )
+    s = s.withColumnRenamed("lang", "project").withColumns({k: F.lit(None).cast(t) for k, t in blank.items()} | {"status": F.lit("indexed"), "prompt_count": F.lit(1), "tool_call_count": F.size("tool_seq"), "content_bytes": F.lit(1)})
+    e = Engine(spark, scratch.path("engine"), clock=lambda: datetime(2026, 7, 30, tzinfo=UTC))
+    e.store.write("sessions", s)
+    return e, scratch
+
+
+def engine_first_run(spark, sf_dir):
+    """J1 to J3, J7, J8, A2 to A7, P10 to P12, P14, K4, K6, S8, S9, H9, T6 over an empty store: the summaries of a first run."""
+    e, _ = _document_engine(spark, sf_dir)
+    e.recluster()
+    return e.summaries()
+
+
+def engine_second_run(spark, sf_dir):
+    """Groups meet two stored clusters each, of all statuses, and one that a person has marked."""
+    e, scratch = _document_engine(spark, sf_dir)
+    e.recluster()
+    m = scratch.save(e.store.read("members").select(F.col("cluster_id").alias("k"), "session_id"), "members")
+    split = m.withColumn("cluster_id", F.col("k") * 2 - F.col("session_id").cast("bigint") % 2)
+    sizes = split.groupBy("cluster_id").agg(F.count("*").alias("session_count"))
+    status = F.element_at(F.array(*map(F.lit, ("forming", "candidate", "dismissed", "proposed", "pushed"))), (F.col("cluster_id") % 5 + 1).cast("int"))
+    c = sizes.withColumns({"fingerprint": F.concat(F.lit("own"), F.lpad(F.col("cluster_id").cast("string"), 9, "0")), "status": status, "dismissed_count": (F.col("cluster_id") % 3 + 1).cast("int")})
+    e.store.write("clusters", c.withColumns({f.name: F.lit(None).cast(f.dataType) for f in CLUSTERS if f.name not in c.columns}))
+    e.store.write("members", split.select("cluster_id", "session_id"))
+    e.mark("0123456789ab", "pushed", blueprint_id="b", checksum="c")
+    e.recluster()
+    n = e.store.read("members").groupBy("cluster_id").agg(F.count("*").alias("members"))
+    out = e.store.read("clusters").join(n, "cluster_id", "left")
+    return out.select("cluster_id", "fingerprint", "status", "first_day", "last_day", F.col("session_count").cast("bigint").alias("session_count"), "project", "title_hint", "blueprint_id", "last_pushed_at", F.col("dismissed_count").cast("bigint").alias("dismissed_count"), F.coalesce("members", F.lit(0)).alias("members"))

@@ -89,25 +89,68 @@ def title(c: str) -> str:
 _wrapper = " OR ".join(f"starts_with(regexp_replace(text, {q('^' + SPACE + '+')}, ''), '{w}')" for w in WRAPPERS)
 _user = f"role = 'user' AND text <> '' AND NOT ({_wrapper})"
 _keys = "array_to_string(list(band::VARCHAR || ':' || lower(to_base(h, 36)) ORDER BY band), ',')"
-_fold = """SELECT conv_id, count(*) AS line_count, count(*) FILTER (role = 'user') AS prompt_count, count(*) FILTER (role = 'assistant') AS answer_count,
-  count(*) FILTER (role NOT IN ('user', 'assistant')) AS other_types, min(turn) AS first_turn, max(turn) AS last_turn,
-  arg_min(text, turn) FILTER (role = 'user') AS first_prompt, string_agg(role, ',' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id"""
 _seq = "SELECT user_id, list(event_type ORDER BY ts, event_id) AS seq, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY user_id"
-_code = f"""WITH s AS ({_seq}), k AS (SELECT event_type, chr((64 + row_number() OVER (ORDER BY event_type))::INT) AS c FROM (SELECT DISTINCT event_type FROM events)),
-m AS (SELECT map(list(event_type), list(c)) AS m FROM k), c AS (SELECT user_id, array_to_string(list_transform(seq[1:400], lambda x: m[x]), '') AS code FROM s, m)
+_code = f"""WITH s AS ({_seq}), k AS (SELECT event_type, chr((64 + row_number() OVER (ORDER BY event_type))::INT) AS c FROM (SELECT DISTINCT coalesce(event_type, chr(1)) AS event_type FROM events)),
+m AS (SELECT map(list(event_type), list(c)) AS m FROM k), c AS (SELECT user_id, array_to_string(list_transform(seq[1:400], lambda x: m[coalesce(x, chr(1))]), '') AS code FROM s, m)
 SELECT a.user_id, b.user_id AS next_id, round(1 - levenshtein(a.code, b.code)::DOUBLE / greatest(length(a.code), length(b.code)), 9) AS similarity FROM c a JOIN c b ON b.user_id = a.user_id + 1"""
 
+_clean = f"""SELECT conv_id, turn, CASE WHEN len(toks) = 0 THEN r ELSE array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || CASE WHEN toks[i] IS NULL THEN '' WHEN {is_random('toks[i]')} THEN '[REDACTED]' ELSE toks[i] END), '') END AS r
+FROM (SELECT conv_id, turn, r, string_split_regex(r, {q(ENTROPY_TOKEN)}) AS gaps, regexp_extract_all(r, {q(ENTROPY_TOKEN)}) AS toks FROM (SELECT conv_id, turn, {redacted('text')} AS r FROM conversations))"""
+#: CTE sess: conversations as rows of sessions, by the rules that the made transcripts follow.
+_sess = f"""r AS ({_clean}), t AS (SELECT c.conv_id, turn, role, r.r, {_user} AND turn % 5 <> 4 AND c.conv_id % 10 <> 5 AS asks,
+  '2026-01-0' || (c.conv_id % 9 + 1) || 'T00:0' || (turn // 2) || ':' || CASE WHEN turn % 2 = 0 THEN '00' ELSE '30' END || 'Z' AS ts FROM conversations c JOIN r USING (conv_id, turn)),
+f AS (SELECT conv_id, count(*) AS n, count(*) FILTER (asks) AS p, count(*) FILTER (role = 'assistant') AS a, min(ts) AS t0, max(ts) AS t1, (max(turn) - min(turn)) * 30 AS secs,
+  string_agg(r, chr(10) ORDER BY turn) FILTER (asks) AS said, string_agg('T' || (turn % 3), ',' ORDER BY turn) FILTER (role = 'assistant') AS tools,
+  CASE conv_id % 13 WHEN 5 THEN '/w/p1x' WHEN 6 THEN '/w/own' END AS given, '/w/p' || (conv_id % 4) AS found, conv_id % 17 = 9 AS unset, conv_id % 11 = 7 AS lost,
+  CASE conv_id % 10 WHEN 3 THEN 3 * count(*) >= 10 WHEN 4 THEN 2 * count(*) >= 10 ELSE false END AS failed FROM t GROUP BY conv_id),
+w AS (SELECT *, CASE WHEN conv_id % 13 = 5 OR unset OR lost THEN given ELSE coalesce(given, found) END AS cwd FROM f),
+k AS (SELECT *, CASE WHEN conv_id % 13 = 5 THEN 'ignored' WHEN unset THEN 'missing' WHEN starts_with(coalesce(cwd, ''), '/w/p1') THEN 'ignored' WHEN lost THEN 'missing' WHEN failed THEN 'parse_failed'
+  WHEN p < 1 OR a = 0 AND secs < 60 THEN 'trivial' ELSE 'indexed' END AS status FROM w),
+sess AS (SELECT conv_id::VARCHAR AS session_id, coalesce(cwd, 'unknown') AS project, cwd, status, CASE WHEN status <> 'ignored' AND NOT unset AND NOT lost THEN t0 END AS started_at, CASE WHEN status <> 'ignored' AND NOT unset AND NOT lost THEN t1 END AS ended_at,
+  CASE WHEN status IN ('trivial', 'indexed') THEN p ELSE 0 END AS prompt_count, CASE WHEN status IN ('trivial', 'indexed') THEN a ELSE 0 END AS tool_call_count,
+  CASE WHEN status IN ('trivial', 'indexed') THEN sha256(coalesce(said, '')) END AS prompts_sha256, CASE WHEN status IN ('trivial', 'indexed') THEN coalesce(tools, '') END AS tools FROM k)"""
+#: CTEs of documents as sessions: (grp: id, root), facts (a row for each group), within projects and with the gate of sequences.
+_docs_as_sessions = f"""{DOCS}, info AS MATERIALIZED (SELECT doc_id AS id, coalesce(nullif(lang, ''), 'unknown') AS project, 'RBW'[1 : (doc_id % 3 + 1)::INT] AS code, ['Read', 'Bash', 'Write'][1 : (doc_id % 3 + 1)::INT] AS seq, '2026-03-0' || (doc_id % 7 + 1) AS day, text FROM documents),
+cand AS MATERIALIZED (SELECT DISTINCT x.id AS a, y.id AS b FROM dband x JOIN dband y ON x.band = y.band AND x.h = y.h AND x.id < y.id JOIN info i ON i.id = x.id JOIN info j ON j.id = y.id
+  WHERE i.project = j.project AND 1 - levenshtein(i.code, j.code)::DOUBLE / greatest(length(i.code), length(j.code)) >= 0.6),
+two AS MATERIALIZED (SELECT a, b FROM (SELECT a, b FROM cand JOIN dsig x ON x.id = a JOIN dsig y ON y.id = b WHERE {est('x.sig', 'y.sig')} >= 0.5) UNION ALL SELECT b, a FROM (SELECT a, b FROM cand JOIN dsig x ON x.id = a JOIN dsig y ON y.id = b WHERE {est('x.sig', 'y.sig')} >= 0.5)),
+reach(id, z) AS (SELECT a, a FROM two UNION SELECT reach.id, two.b FROM reach JOIN two ON reach.z = two.a),
+grp AS MATERIALIZED (SELECT id, min(z) AS root FROM reach GROUP BY id),
+sc AS (SELECT g.root, g.id, sum({est('x.sig', 'y.sig')}) AS score FROM grp g JOIN grp o ON o.root = g.root AND o.id <> g.id JOIN dsig x ON x.id = g.id JOIN dsig y ON y.id = o.id GROUP BY g.root, g.id),
+med AS (SELECT root, id AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY score DESC, id) AS k FROM sc) WHERE k = 1),
+facts AS MATERIALIZED (SELECT root, row_number() OVER (ORDER BY root) AS k, n, first_day, last_day, qualified, project, substr(sha256(dn.norm || '|' || array_to_string(list_sort(i.seq), ',')), 1, 12) AS fp, {title('i.text')} AS title_hint
+  FROM (SELECT root, count(*) AS n, min(day) AS first_day, max(day) AS last_day, count(*) >= 3 AND count(DISTINCT day) >= 2 AS qualified, arg_min(project, id) AS project FROM grp JOIN info USING (id) GROUP BY root)
+  JOIN med USING (root) JOIN info i ON i.id = medoid JOIN dn ON dn.id = medoid)"""
+
 SQL = {
+    "overlap_winner": "WITH c AS (SELECT s_suppkey AS cluster_id, ['forming', 'candidate', 'dismissed', 'proposed', 'pushed'][(s_suppkey % 5 + 1)::INT] AS status, s_suppkey % 5 AS p FROM supplier), o AS (SELECT root, cluster_id, count(*) AS overlap FROM (SELECT DISTINCT l_orderkey AS root, l_partkey AS m FROM lineitem) JOIN (SELECT DISTINCT l_suppkey AS cluster_id, l_partkey AS m FROM lineitem) USING (m) GROUP BY 1, 2) SELECT root, cluster_id, status, overlap FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY p DESC, overlap DESC, cluster_id) AS k FROM o JOIN c USING (cluster_id)) WHERE k = 1",
+    "user_groups": "SELECT user_id AS root, count(*)::INT AS size, min(strftime(ts, '%Y-%m-%d')) AS first_day, max(strftime(ts, '%Y-%m-%d')) AS last_day, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS n_days, arg_min(event_type, event_id) AS project, count(*) >= 3 AND count(DISTINCT strftime(ts, '%Y-%m-%d')) >= 2 AS qualified FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
+    "session_durations": "SELECT user_id, round((epoch_ms(max(ts)) - epoch_ms(min(ts))) / 1000.0, 3)::DOUBLE AS seconds, 0.0::DOUBLE AS none FROM events GROUP BY user_id",
+    "ignored_pages": "SELECT page_id, coalesce(starts_with(url, 'https://www.') OR starts_with(url, 'http://'), false) AS ignored FROM pages",
+    "sweep_batch": "WITH s AS (SELECT o_custkey, min(length(o_orderpriority)) AS b FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), t AS (SELECT o.o_custkey AS session_id, o_orderkey::VARCHAR AS transcript_path, length(o_orderpriority)::BIGINT AS size, strftime(o_orderdate, '%Y-%m-%d') AS mtime FROM orders o LEFT JOIN s ON s.o_custkey = o.o_custkey WHERE b IS NULL OR length(o_orderpriority) > b) SELECT session_id, transcript_path, size, mtime FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY mtime DESC, transcript_path) AS k FROM t) WHERE k = 1 ORDER BY mtime, session_id LIMIT 500",
+    "session_index": f"WITH {_sess} SELECT * FROM sess",
+    "session_status_counts": f"WITH {_sess} SELECT status, count(*) AS n FROM sess GROUP BY status",
+    "member_evidence": f"WITH {_sess}, m AS (SELECT DISTINCT conv_id % 7 AS cluster_id, CASE WHEN conv_id % 3 = 0 THEN 'gone' || conv_id ELSE conv_id::VARCHAR END AS session_id FROM conversations) SELECT cluster_id, m.session_id, project, started_at, tools FROM m LEFT JOIN sess ON sess.session_id = m.session_id",
+    "engine_first_run": f"""WITH RECURSIVE {_docs_as_sessions} SELECT CASE WHEN c = 1 THEN fp ELSE substr(fp, 1, 10) || lpad(c::VARCHAR, 2, '0') END AS fingerprint, CASE WHEN qualified THEN 'candidate' ELSE 'forming' END AS status, n::INT AS sessions, first_day, last_day, project, title_hint, NULL::VARCHAR AS blueprint_id
+FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY root) AS c FROM facts)""",
+    "engine_second_run": f"""WITH RECURSIVE {_docs_as_sessions}, st AS (SELECT k, root, 2 * k - id % 2 AS cluster_id, count(*) AS held FROM grp JOIN facts USING (root) GROUP BY ALL),
+c AS (SELECT *, ['forming', 'candidate', 'dismissed', 'proposed', 'pushed'][(cluster_id % 5 + 1)::INT] AS old, [1, 2, 3, 4, 5][(cluster_id % 5 + 1)::INT] AS p, cluster_id % 3 + 1 AS dismissed, 'own' || lpad(cluster_id::VARCHAR, 9, '0') AS own FROM st),
+pr AS (SELECT *, CASE old WHEN 'pushed' THEN 5 WHEN 'proposed' THEN 4 WHEN 'dismissed' THEN 3 WHEN 'candidate' THEN 2 ELSE 1 END AS rank_of FROM c),
+z AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY rank_of DESC, held DESC, cluster_id) AS pos FROM pr),
+u AS (SELECT z.*, f.n, f.first_day, f.last_day, f.qualified, f.project, f.fp, f.title_hint, row_number() OVER (PARTITION BY f.fp, pos = 1 AND old = 'forming' ORDER BY z.root) AS claim FROM z JOIN facts f USING (root) WHERE pos = 1 OR old NOT IN ('forming', 'candidate'))
+SELECT cluster_id, CASE WHEN pos = 1 AND old = 'forming' AND claim = 1 THEN fp ELSE own END AS fingerprint,
+  CASE WHEN pos > 1 THEN old WHEN old = 'forming' AND qualified THEN 'candidate' WHEN old = 'dismissed' AND n >= 2 * dismissed THEN 'candidate' ELSE old END AS status,
+  CASE WHEN pos = 1 THEN first_day END AS first_day, CASE WHEN pos = 1 THEN last_day END AS last_day, CASE WHEN pos = 1 THEN n ELSE held END AS session_count, CASE WHEN pos = 1 THEN project END AS project, CASE WHEN pos = 1 THEN title_hint END AS title_hint,
+  NULL::VARCHAR AS blueprint_id, NULL::VARCHAR AS last_pushed_at, dismissed AS dismissed_count, CASE WHEN pos = 1 THEN n ELSE held END AS members FROM u
+UNION ALL SELECT (SELECT max(cluster_id) FROM st) + 1, '0123456789ab', 'pushed', NULL, NULL, 0, NULL, NULL, 'b', '2026-07-30T00:00:00.000Z', 0, 0""",
     "normalize_documents": f"SELECT id AS doc_id, norm FROM ({norm_of('documents', 'doc_id')})",
     "normalize_pages": f"SELECT id AS page_id, norm FROM ({norm_of('pages', 'page_id', 'html')})",
     "normalize_conversations": f"SELECT conv_id, turn, {normalized_sql('text')} AS norm FROM conversations",
     "conversation_session_text": f"SELECT conv_id, string_agg({normalized_sql('text')}, ' | ' ORDER BY turn, text) AS session_text FROM conversations WHERE {_user} GROUP BY conv_id",
     "conversation_title_hint": f"SELECT conv_id, {title('arg_min(text, turn)')} AS title_hint FROM conversations WHERE {_user} GROUP BY conv_id",
-    "conversation_fold": _fold,
     "transcript_fold": f"""SELECT conv_id, 'ok' AS status, count(*) FILTER ({_user}) AS prompts, coalesce(string_agg('T' || (turn % 3)::VARCHAR, ',' ORDER BY turn) FILTER (role = 'assistant'), '') AS tools,
   min('2026-01-01T00:' || lpad(turn::VARCHAR, 4, '0')) AS started_at, max('2026-01-01T00:' || lpad(turn::VARCHAR, 4, '0')) AS ended_at, CASE WHEN count(*) FILTER (role NOT IN ('user', 'assistant')) > 0 THEN '/w/p' END AS cwd,
   count(*) AS line_count, 0 AS skipped, count(*) FILTER (role NOT IN ('user', 'assistant')) AS other_types FROM conversations GROUP BY conv_id""",
-    "trivial_conversations": f"SELECT conv_id, CASE WHEN prompt_count < 1 OR (answer_count = 0 AND last_turn - first_turn < 2) THEN 'trivial' ELSE 'indexed' END AS status FROM ({_fold})",
     "wrapper_turns": f"SELECT role, count(*) AS turns, count(*) FILTER ({_wrapper}) AS wrappers FROM conversations GROUP BY role",
     "word_shingles": f"""WITH n AS ({norm_of('documents', 'doc_id')}), s AS ({shingles_of('n')}), u AS (SELECT id, i, g FROM (SELECT id, unnest(s) AS g, unnest(range(len(s))) AS i FROM s)),
 f AS (SELECT id, g, min(i) AS i FROM u GROUP BY id, g), j AS (SELECT id, count(*) AS k, string_agg(g, chr(10) ORDER BY i) AS t FROM f GROUP BY id)
@@ -140,19 +183,9 @@ g AS (SELECT page_id, token, count(*) AS n FROM t GROUP BY page_id, token) SELEC
     "args_digest": """WITH k AS (SELECT event_id, props, list_sort(json_keys(props)) AS ks FROM events), c AS (SELECT event_id, '{' || array_to_string(list_transform(ks, lambda k: '"' || k || '":' || json_extract(props, '$."' || k || '"')::VARCHAR), ',') || '}' AS canonical FROM k)
 SELECT event_id, canonical, substr(sha256(canonical), 1, 12) AS digest FROM c""",
     "fingerprint_text": f"SELECT doc_id, substr(sha256({normalized_sql('text')}), 1, 12) AS fingerprint FROM documents",
-    "qualified_users": "SELECT user_id, count(*) AS sessions, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS days, min(strftime(ts, '%Y-%m-%d')) AS first_day, max(strftime(ts, '%Y-%m-%d')) AS last_day FROM events GROUP BY user_id HAVING count(*) >= 3 AND count(DISTINCT strftime(ts, '%Y-%m-%d')) >= 2",
-    "status_histogram": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
-    "cluster_counts": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY o_orderpriority",
     "latest_per_key": "SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1",
     "upsert_latest_wins": "WITH o AS (SELECT o_custkey, max(o_orderkey) AS order_key, 'old' AS origin FROM orders WHERE o_orderstatus <> 'O' GROUP BY o_custkey), n AS (SELECT o_custkey, max(o_orderkey) AS order_key, 'new' AS origin FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) SELECT * FROM n UNION ALL SELECT * FROM o WHERE o_custkey NOT IN (SELECT o_custkey FROM n)",
     "incremental_anti_join": "WITH l AS (SELECT o_custkey AS session_id, count(*) AS size FROM orders GROUP BY 1), s AS (SELECT o_custkey AS session_id, count(*) AS b FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT l.session_id, l.size FROM l LEFT JOIN s ON l.session_id = s.session_id WHERE s.session_id IS NULL OR l.size > s.b",
-    "unseen_customers": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
-    "overlap_winner": "WITH c AS (SELECT s_suppkey AS cluster_id, ['forming', 'candidate', 'dismissed', 'proposed', 'pushed'][(s_suppkey % 5 + 1)::INT] AS status, s_suppkey % 5 AS p FROM supplier), o AS (SELECT l_orderkey AS root, l_suppkey AS cluster_id, count(*) AS overlap FROM lineitem GROUP BY 1, 2) SELECT root, cluster_id, status, overlap FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY p DESC, overlap DESC, cluster_id) AS k FROM o JOIN c USING (cluster_id)) WHERE k = 1",
-    "surrogate_ids": "SELECT n_name, 100 + row_number() OVER (ORDER BY n_name) AS cluster_id FROM nation",
+    "surrogate_ids": "SELECT o_orderkey, 100 + row_number() OVER (ORDER BY o_custkey, o_orderkey) AS cluster_id FROM orders",
     "mark_transition": "WITH e AS (SELECT min(s_name) AS a, max(s_name) AS b FROM supplier) SELECT s_suppkey AS cluster_id, s_name AS fingerprint, CASE s_name WHEN a THEN 'pushed' WHEN b THEN 'dismissed' ELSE 'candidate' END AS status, s_nationkey AS session_count, CASE WHEN s_name = a THEN 'b1' END AS blueprint_id, CASE WHEN s_name = a THEN 't1' END AS last_pushed_at, 'old' AS last_pushed_checksum, CASE WHEN s_name = b THEN s_nationkey ELSE 0 END AS dismissed_count, CASE s_name WHEN a THEN 't1' WHEN b THEN 't2' ELSE 't0' END AS updated_at FROM supplier, e",
-    "session_durations": "SELECT user_id, greatest(0, epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS seconds FROM events GROUP BY user_id",
-    "ignored_pages": "SELECT page_id, coalesce(starts_with(url, 'https://www.') OR starts_with(url, 'http://'), false) AS ignored FROM pages",
-    "member_evidence": "SELECT c_nationkey AS cluster_id, c_custkey AS session_id, orders, last_order FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders, max(o_orderkey) AS last_order FROM orders GROUP BY 1) ON o_custkey = c_custkey",
-    "sweep_batch": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY day, o_orderkey LIMIT 500",
-    "first_seen_window": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events",
 }

@@ -41,9 +41,22 @@ def _valid(df: DataFrame) -> DataFrame:
 
 
 def queued(spark: SparkSession, queue_dir: str) -> DataFrame:
-    """All entries, in the order of file names when collected; unreadable ones and those without id drop out."""
+    """All entries in the order of file names, with the name; unreadable ones and those without id drop out."""
     raw = spark.read.schema(QUEUE).option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE").option("multiLine", True).json(queue_dir)
-    return _valid(raw.withColumn("file", F.col("_metadata.file_name")))
+    return _valid(raw.withColumn("file", F.col("_metadata.file_name"))).orderBy("file")
+
+
+def files(spark: SparkSession, queue_dir: str) -> list[str]:
+    """Paths of the entries, by name, on any file system that Spark knows. Names only come to the driver, as Spark lists them there too."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{queue_dir}/*.json")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(str(f.getPath().toString()) for f in found or [])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
 
 
 def queue_stream(spark: SparkSession, queue_dir: str, max_files: int = 500) -> DataFrame:

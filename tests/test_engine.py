@@ -10,7 +10,7 @@ from recurra import config
 from recurra.config import Rules
 from recurra.operators import groups, lifecycle, tables
 from recurra.operators.components import components
-from recurra.plans.engine import Engine, SecretsFound, problems
+from recurra.plans.engine import Engine, SecretsFound, derived_field, problems
 from recurra.sources import documents, queue, transcripts
 from recurra.sources.scratch import Scratch
 from recurra.streaming.drain import drain_queue
@@ -117,10 +117,10 @@ def test_medoid_is_the_sum_of_pairs(spark):
 
 
 def group(root, members, qualified=True, fp="aaaaaaaaaaaa"):
-    return (root, members, "2026-07-01", "2026-07-02", qualified, "p", fp, "t")
+    return (root, len(members), "2026-07-01", "2026-07-02", qualified, "p", fp, "t")
 
 
-GROUP = "root STRING, members ARRAY<STRING>, first_day STRING, last_day STRING, qualified BOOLEAN, project STRING, fingerprint STRING, title_hint STRING"
+GROUP = "root STRING, size INT, first_day STRING, last_day STRING, qualified BOOLEAN, project STRING, fingerprint STRING, title_hint STRING"
 
 
 def test_reconcile(spark):
@@ -131,8 +131,10 @@ def test_reconcile(spark):
 
     clusters = spark.createDataFrame([row(1, "forming", "f1"), row(2, "pushed", "f2"), row(3, "candidate", "f3"), row(4, "dismissed", "f4", 3, 3), row(5, "forming", "f5")], CLUSTERS)
     members = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "a"), (4, "x"), (5, "lone")], MEMBERS)
-    new = [group("a", ["a", "b", "c"]), group("m", ["m", "n"], False, "f2"), group("x", ["x", "y", "z", "u", "v", "w"])]
-    c, m = lifecycle.reconcile(spark, spark.createDataFrame(new, GROUP), clusters, members, "now")
+    new = {"a": (["a", "b", "c"],), "m": (["m", "n"], False, "f2"), "x": (["x", "y", "z", "u", "v", "w"],)}
+    facts = spark.createDataFrame([group(r, *g) for r, g in new.items()], GROUP)
+    fresh = spark.createDataFrame([(r, i) for r, g in new.items() for i in g[0]], "root STRING, session_id STRING")
+    c, m = lifecycle.reconcile(facts, fresh, clusters, members, "now", Scratch(spark))
     c = {r["cluster_id"]: r for r in c.collect()}
     assert set(c) == {2, 4, 5, 6}  # forming and candidate taken in by the pushed one
     assert (c[2]["status"], c[2]["fingerprint"], c[2]["session_count"]) == ("pushed", "f2", 3)
@@ -166,9 +168,10 @@ def test_end_to_end(spark, tmp_path):
     write(root / "p" / "s4.jsonl", release(4, "2.4.0"))
     e.run(projects_root=str(root), deep=True)
     row = e.pending().first()
-    assert (row["fingerprint"], row["session_count"]) == (fp, 4)
+    assert (row["fingerprint"], row["sessions"]) == (fp, 4)
     e.mark(fp, "pushed", blueprint_id="b", checksum="c")
-    assert e.pending().isEmpty() and e.summaries("pushed").first()["last_pushed_checksum"] == "c"
+    assert e.pending().isEmpty() and e.store.read("clusters").where("status = 'pushed'").first()["last_pushed_checksum"] == "c"
+    assert e.summaries("pushed").columns == ["fingerprint", "status", "sessions", "first_day", "last_day", "project", "title_hint", "blueprint_id"]
     e.mark("0123456789ab", "dismissed")
     assert e.status()["dismissed"] == 1
     with pytest.raises(ValueError):
@@ -184,7 +187,7 @@ def test_cross_project_and_ignored(spark, tmp_path):
     e.config_set("cross_project", "true")
     e.run(projects_root=str(root), deep=True)
     assert e.status()["sessions"] == {"ignored": 1, "indexed": 2}
-    assert e.summaries().first()["session_count"] == 2
+    assert e.summaries().first()["sessions"] == 2
     assert e.sweep(str(root)) == 0
 
 
@@ -203,7 +206,83 @@ def test_groups_need_project_days_and_members(spark):
     sig = [list(range(128)), list(range(128)), [*range(64), *range(500, 564)], [*range(60), *range(900, 968)]]
     rows = [(f"s{i}", p, f"2026-07-0{d}T", None, ["x"], ["A"], s) for i, (p, d, s) in enumerate(zip("ppqp", (1, 2, 3, 4), sig))]
     df = spark.createDataFrame(rows, "session_id STRING, project STRING, started_at STRING, ended_at STRING, prompts ARRAY<STRING>, tool_seq ARRAY<STRING>, minhash ARRAY<BIGINT>")
-    one = groups.described_groups(df, Rules(), Scratch(spark)).collect()
-    assert [(r["members"], r["qualified"], r["n_days"]) for r in one] == [(["s0", "s1"], False, 2)]
-    both = groups.described_groups(df, Rules(cross_project=True), Scratch(spark)).collect()
-    assert [(r["members"], r["qualified"], r["medoid"], r["project"]) for r in both] == [(["s0", "s1", "s2"], True, "s0", "p")]
+    def found(rules):
+        facts, members = groups.described_groups(df, rules, Scratch(spark))
+        own = sorted(r["session_id"] for r in members.collect())
+        return [(own, r["qualified"], r["n_days"], r["medoid"], r["project"]) for r in facts.collect()]
+
+    assert found(Rules()) == [(["s0", "s1"], False, 2, "s0", "p")]
+    assert found(Rules(cross_project=True)) == [(["s0", "s1", "s2"], True, 3, "s0", "p")]
+
+
+def slow_reconcile(groups_, clusters, members):
+    """The lifecycle one group after another: clusters {id: [status, fingerprint, size, dismissed]}, members {id: set}."""
+    rows, mem, used = {i: list(r) for i, r in clusters.items()}, {i: set(m) for i, m in members.items()}, set()
+    priority = {"pushed": 5, "proposed": 4, "dismissed": 3, "candidate": 2, "forming": 1}
+    last, placed = max(rows, default=0), {}
+    for root, ids, qualified, fp in sorted(groups_):
+        met = sorted((i for i in rows if i not in used and members.get(i, set()) & ids), key=lambda i: (-priority[rows[i][0]], -len(members[i] & ids), i))
+        for i in met[1:]:
+            if rows[i][0] in ("forming", "candidate"):
+                del rows[i], mem[i]
+        if met:
+            at = met[0]
+            r = rows[at]
+            if r[0] == "forming":
+                r[0] = "candidate" if qualified else "forming"
+            elif r[0] == "dismissed" and r[3] and len(ids) >= 2 * r[3]:
+                r[0] = "candidate"
+            r[2] = len(ids)
+        else:
+            at = root  # named later: ids of new clusters go by root
+            rows[at] = ["candidate" if qualified else "forming", None, len(ids), 0]
+        used.add(at)
+        placed[root], mem[at] = at, ids
+    for k, root in enumerate(sorted(r for r, at in placed.items() if at == r), last + 1):
+        rows[k], mem[k] = rows.pop(root), mem.pop(root)
+    return {i: (r[0], r[2]) for i, r in rows.items()}, {(i, x) for i, m in mem.items() for x in m}
+
+
+def test_reconcile_random(spark):
+    """Chains of groups that contend for clusters, against the sequential rules; fingerprints stay unique."""
+    import random
+
+    from recurra.schemas import CLUSTERS, MEMBERS
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        ids = [f"s{i:03d}" for i in range(60)]
+        parts: dict[str, set] = {}
+        for i in ids:
+            if rng.random() < 0.8:
+                parts.setdefault(f"g{rng.randrange(14):02d}", set()).add(i)
+        groups_ = [(r, m, rng.random() < 0.5, rng.choice(["ffffffffff01", "ffffffffff02", f"fp{r}xxxxxxx"])) for r, m in parts.items()]
+        clusters = {k: (rng.choice(["forming", "candidate", "dismissed", "proposed", "pushed"]), f"own{k:09d}", 2, rng.randrange(4)) for k in range(1, 13)}
+        members = {k: set(rng.sample(ids, rng.randrange(1, 7))) for k in clusters}
+        facts = spark.createDataFrame([(r, len(m), "d", "d", q, "p", fp, "t") for r, m, q, fp in groups_], GROUP)
+        fresh = spark.createDataFrame([(r, i) for r, m, _, _ in groups_ for i in m], "root STRING, session_id STRING")
+        c = spark.createDataFrame([(k, fp, st, None, None, n, None, None, None, None, None, d, None) for k, (st, fp, n, d) in clusters.items()], CLUSTERS)
+        m = spark.createDataFrame([(k, i) for k, x in members.items() for i in x], MEMBERS)
+        got_c, got_m = lifecycle.reconcile(facts, fresh, c, m, "now", Scratch(spark))
+        want_c, want_m = slow_reconcile(groups_, clusters, members)
+        rows = got_c.collect()
+        assert {r["cluster_id"]: (r["status"], r["session_count"]) for r in rows} == want_c
+        assert {tuple(r) for r in got_m.collect()} == want_m
+        assert len({r["fingerprint"] for r in rows}) == len(rows) and all(r["fingerprint"] for r in rows)
+
+
+def test_derived_fields():
+    assert [derived_field("x", v)["type"] for v in (["2026-01-02", "03/04/2026"], ["a/b.csv", "c.pdf"], ["stable", "beta", "stable"], ["one", "two"], ["a\nb"], ["y" * 101])] == ["date", "file", "dropdown", "short_text", "long_text", "long_text"]
+    assert derived_field("x", ["b", "a", "b"])["options"] == ["b", "a"]
+
+
+def test_queue_is_read_in_order_and_bad_entries_are_logged(spark, tmp_path):
+    q = tmp_path / "queue"
+    for name in ("b", "a"):
+        queue.enqueue(q, {"session_id": name})
+    (q / "0bad.json").write_text("{no json")
+    assert [r["session_id"] for r in queue.queued(spark, str(q)).collect()] == ["a", "b"]
+    e = Engine(spark, str(tmp_path / "store"), log_path=str(tmp_path / "log.txt"))
+    e.run(queue_dir=str(q))
+    assert not list(q.glob("*.json")) and e.status()["sessions"] == {"missing": 2}
+    assert "1 entries of 3 could not be read" in (tmp_path / "log.txt").read_text()
