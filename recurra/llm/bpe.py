@@ -4,7 +4,8 @@ A rolling hash over the characters cuts every text into chunks that depend on co
 give the same chunks wherever they stand. A chunk is encoded once and kept (a store of bounded size for each task); the
 joins between chunks are then repaired: the end of one chunk and the start of the next are encoded together, between two
 places that no token crosses, and the pieces cut off must agree exactly with the chunks' own tokens. Where they
-don't, the window grows, up to whole chunks. Nothing is shuffled, so a lost executor costs only its own tasks.
+don't, the window grows to both whole chunks, then to their neighbours, until all joins agree. Nothing is shuffled, so a
+lost executor costs only its own tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_blocks, table, tokenizer_path
+from .common import map_blocks, spread, table, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 #: A chunk ends where the low MASK_BITS bits of the hash of the last SPAN characters are 0: 1,024 characters on average.
@@ -114,7 +115,7 @@ class WordTable:
 
 
 class Codec:
-    """Encodes and decodes texts with a store of chunks; ``made`` and ``used`` count chunks encoded and asked for."""
+    """Encodes and decodes texts with a store of chunks; ``made`` and ``used`` count chunks encoded and asked for, ``repairs`` texts with a bad join."""
 
     def __init__(self, name: str = TOKENIZER, store_tokens: int = STORE_TOKENS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -130,7 +131,7 @@ class Codec:
         self.words = WordTable(self.tok) if drops_space else None
         self.store: OrderedDict[bytes, np.ndarray] = OrderedDict()
         self.joints: dict[str, np.ndarray] = {}
-        self.store_tokens, self.held, self.made, self.used = store_tokens, 0, 0, 0
+        self.store_tokens, self.held, self.made, self.used, self.repairs = store_tokens, 0, 0, 0, 0
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -201,11 +202,42 @@ class Codec:
             a, b = at[j]
             tail, head = self.joints[a], self.joints[b]
             if len(a) == len(chunks[j]) or len(b) == len(chunks[j + 1]) or skip + len(tail) > len(own) or not (_ends(own, tail) and _starts(ids[j + 1], head)):
-                return self.plain([text])[0]  # no safe place in a whole chunk, or no agreement: the window is the text
+                return self._repaired(text, [chunks[k] for k in mine])
             parts += [own[skip : len(own) - len(tail)], self.joints[a + b]]
             skip = len(head)
         return np.concatenate(parts)
 
+    def _repaired(self, text: str, chunks: list[str]) -> np.ndarray:
+        """Joins of which one has no safe place in a whole chunk, or no agreement: windows grow over whole chunks.
+
+        Chunks at a bad join are one window, encoded anew, and its outer joins are tested again; after a few rounds the window
+        is the text.
+        """
+        self.repairs += 1
+        for _ in range(3):
+            cut = [(_last_safe(a), _first_safe(b)) for a, b in zip(chunks, chunks[1:])]
+            open_ = [a == 0 or b == len(c) for (a, b), c in zip(cut, chunks[1:])]
+            if not any(open_):
+                ids = self.plain(chunks)
+                pieces = [(c[a:], d[:b]) for (a, b), c, d in zip(cut, chunks, chunks[1:])]
+                got = self.plain([s for a, b in pieces for s in (a, b, a + b)])
+                parts, skip = [], 0
+                for j, own in enumerate(ids[:-1]):
+                    tail, head, both = got[3 * j : 3 * j + 3]
+                    open_[j] = skip + len(tail) > len(own) or not (_ends(own, tail) and _starts(ids[j + 1], head))
+                    parts += [own[skip : len(own) - len(tail)], both]
+                    skip = len(head)
+                if not any(open_):
+                    return np.concatenate([*parts, ids[-1][skip:]])
+            wider = chunks[:1]
+            for c, bad in zip(chunks[1:], open_):
+                if bad:
+                    wider[-1] += c
+                else:
+                    wider.append(c)
+            chunks = wider
+        return self.plain([text])[0]
+
     def decode(self, ids: np.ndarray) -> str:
         if self.tokens is not None:
             return " ".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -260,5 +292,6 @@ def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """One row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256; edge cases as in ``encode_documents``."""
+    out = encode_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

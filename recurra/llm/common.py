@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
+from ..operators.skew import join_lookup
 from ..sources.scratch import Scratch, remove, shared_dir
 from ..sources.spread import spread
 
-__all__ = ["ASCII_SPACE", "Scratch", "SortedTable", "ascii_lower", "components", "free_names", "hash128", "map_blocks", "remove", "shared_dir", "spread", "table", "tokenizer_path"]
+__all__ = ["ASCII_SPACE", "Scratch", "SortedTable", "ascii_lower", "components", "free_names", "hash128", "join_lookup", "map_blocks", "remove", "shared_dir", "spread", "table", "tokenizer_path"]
 
 #: White space of ASCII: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"

@@ -16,12 +16,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_blocks, table
+from .common import Scratch, free_names, map_blocks, spread, table
 from .fm_index import FMIndex
 
 WINDOW = 10
-#: Benchmark text that goes to each task at once; a larger benchmark is taken in blocks of this size, one pass each.
-BLOCK_BYTES = 8 << 20
+#: Benchmark text that goes to each task at once; a larger benchmark is taken in blocks of this size, one pass each. The
+#: object sent has for each word of text at most a vocabulary entry and a window, some 40 bytes for each byte of text.
+BLOCK_BYTES = 1 << 20
 #: Each byte that is no part of a word becomes a space, A-Z are lower-cased; bytes over 127 belong to words.
 _TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -43,7 +44,7 @@ class Windows:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
             for k in range(max(1, len(ids) - window + 1) if ids else 0):
                 found.setdefault(tuple(ids[k : k + window]), set()).add(place[item])
-        self.patterns = np.full((len(found), window), -1, np.int64)
+        self.patterns = np.full((len(found), window), -1, np.int32)
         for k, p in enumerate(found):
             self.patterns[k, window - len(p) :] = p
         self.length = np.array([len(p) for p in found], np.int64)
@@ -121,12 +122,33 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 FIELDS = "n_words bigint, n_hit bigint, hit_spans array<struct<start:bigint,end:bigint>>, item_ids array<string>, clean_text string"
 
 
-def benchmark_blocks(bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
-    """The benchmark in blocks that are checked to be small enough to send to every task."""
+def _pieces(item: str, text: str, window: int, block_bytes: int):
+    """A long item in pieces that together have the same windows; each piece has a window's words at least."""
+    if len(text) * 4 <= block_bytes:
+        yield item, text
+        return
+    words = words_of(text)
+    size = max(2 * window, block_bytes // 16)
+    for k in range(0, max(1, len(words) - window + 1), size - window + 1):
+        yield item, b" ".join(words[k : k + size]).decode("utf-8", "replace")
+
+
+def benchmark_blocks(bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
+    """The benchmark's items, block by block; the driver holds one block at a time, and the longest item."""
     rows = bench.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = int(total // block_bytes) + 1
-    return [[(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()] for k in range(n)]
+    for k in range(n):
+        block, size = [], 0
+        for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toLocalIterator():
+            for item, text in _pieces(r[0], r[1], window, block_bytes):
+                if block and size + len(text) > 4 * block_bytes:
+                    yield block
+                    block, size = [], 0
+                block.append((item, text))
+                size += len(text)
+        if block or k == n - 1:
+            yield block
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -134,13 +156,19 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
 
     Null text: no words, clean_text null; empty text: no words. Benchmark rows with null item_id or text are not
     used; rows that repeat an item_id are one item. Any doc_id, null and repeated ones included: each row is judged
-    alone. Empty tables: no rows, or no hits. Other columns stay, same-named ones are replaced.
+    alone. Empty tables: no rows, or no hits. Other columns stay, whatever their names; same-named ones are replaced.
     """
-    out = None
-    for block in benchmark_blocks(bench, block_bytes):
-        found = Windows(block, window)
-        spark = docs.sparkSession
-        shared = spark.sparkContext.broadcast(found)
+    spark = docs.sparkSession
+    docs = docs.drop("n_words", "n_hit", "hit_spans", "item_ids", "clean_text")
+    old_spans, old_items = free_names(docs, "spans", "items")
+    scratch = Scratch(spark)
+    out = shared = None
+    for block in benchmark_blocks(bench, window, block_bytes):
+        if shared is not None:
+            # an earlier pass is written, so that its windows are not needed again
+            out = scratch.save(out, "pass")
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(Windows(block, window))
         earlier = out is not None
 
         def work(texts, batch, shared=shared, earlier=earlier):
@@ -148,8 +176,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
             n_words, spans, items = w.find(texts)
             names = [[w.items[i] for i in x] for x in items]
             if earlier:
-                spans = [_merged(a + [(x["start"], x["end"]) for x in b]) for a, b in zip(spans, batch.column("_spans").to_pylist())]
-                names = [a + b for a, b in zip(names, batch.column("_items").to_pylist())]
+                spans = [_merged(a + [(x["start"], x["end"]) for x in b]) for a, b in zip(spans, batch.column(old_spans).to_pylist())]
+                names = [a + b for a, b in zip(names, batch.column(old_items).to_pylist())]
             return [
                 n_words,
                 [sum(e - s for s, e in x) for x in spans],
@@ -158,13 +186,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
                 [t if t is None or not x else without(t, x) for t, x in zip(texts, spans)],
             ]
 
-        before = docs if out is None else out.withColumns({"_spans": F.col("hit_spans"), "_items": F.col("item_ids")})
-        out = map_blocks(before, FIELDS, work).drop("_spans", "_items")
+        before = docs if out is None else out.withColumns({old_spans: F.col("hit_spans"), old_items: F.col("item_ids")})
+        out = map_blocks(before, FIELDS, work).drop(old_spans, old_items)
     return out
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """One row for each document, by the contract; edge cases as in ``decontaminate``."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -232,6 +232,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each vector: vec_id, n_links, component_id, kept; edge cases as in ``near_duplicate_vectors``."""
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 

@@ -11,14 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch, SortedTable, ascii_lower, free_names, hash128, spread, table
+from .common import ASCII_SPACE, Scratch, SortedTable, ascii_lower, free_names, hash128, join_lookup, spread, table
 
 MIN_POINTS = 20
 MIN_DOCS = 3
 BATCHES = 3
 FANOUT = 2
-#: Keys with at least one in so many of all lines are hot: there can't be more of them than this, so they are broadcast.
-HOT_SHARE = 10_000
 KEY = ["h1", "h2"]
 COUNTS = ("n_rows", "n_docs", "last_doc")
 
@@ -118,18 +116,9 @@ class LineRuns:
 
 
 def _lines_that_go(lines: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``lines`` whose key is in ``keys`` (h1, h2, n_rows, last_doc) and whose document isn't the key's last one.
-
-    Hot keys are joined by broadcast, at most HOT_SHARE rows; what is left has no key with more than that share of the lines.
-    """
-    keys = scratch.save(keys, "repeated")
-    hot = lines.count() / HOT_SHARE
-    few = F.broadcast(keys.where(F.col("n_rows") > hot).select(*KEY, F.col("last_doc").alias("hot_last")))
-    met = lines.join(few, KEY, "left")
-    own = F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc"))
-    by_hot = met.where("hot_last IS NOT NULL").withColumnRenamed("hot_last", "last_doc").where(own)
-    rest = met.where("hot_last IS NULL").drop("hot_last").join(keys.where(F.col("n_rows") <= hot).select(*KEY, "last_doc"), KEY).where(own)
-    return by_hot.unionByName(rest)
+    """The rows of ``lines`` whose key is in ``keys`` (h1, h2, n_rows, last_doc) and whose document isn't the key's last one."""
+    met = join_lookup(lines, scratch.save(keys, "repeated"), KEY, "n_rows", lines.count())
+    return met.where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc")))
 
 
 def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:

@@ -5,10 +5,13 @@
 2. Signatures are split into chunks. By the pigeonhole principle two signatures at most ``radius`` positions apart
    agree on some chunk up to that chunk's allowed errors; the errors are enumerated by leaving positions out. So every
    pair under the radius shares a key.
-3. Classes that share a key are put into blocks of bounded size; each pair of blocks with a common key is one unit of work,
-   so a hot group becomes many tasks. A unit compares signatures, then full sets, and returns at most one link for each
-   class that it joins: pairs that are joined already are not listed.
-4. Links give connected components.
+3. Every class is first compared with the leaders of its keys, the least class of each. Their links' components leave
+   only keys whose classes are in several components: a group of near copies is mostly done then, with work in
+   proportion to its size.
+4. Classes of the keys that are left are put into blocks of bounded size, a large component's into blocks of its own; each
+   pair of blocks with a common key and more than one component is one unit of work. A unit compares signatures, then
+   full sets, and returns at most one link for each class that it joins: pairs that are joined already are not listed.
+5. All links give connected components.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, map_blocks, table
+from .common import Scratch, components, join_lookup, map_blocks, spread, table
 
 POSITIONS, BITS, CHUNKS = 64, 16, 16
 #: Bound of the chance that a pair at the similarity is further apart than the radius.
@@ -128,13 +131,16 @@ class _Forest:
         return a != b
 
 
-def unit_links(sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, radius: int, similarity: Fraction) -> list[tuple[int, int]]:
-    """Links between rows ``left`` and ``right`` (None: among left) that join what no earlier link has joined."""
+def unit_links(sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, radius: int, similarity: Fraction, groups: list | None = None) -> list[tuple[int, int]]:
+    """Links between rows ``left`` and ``right`` (None: among left) that join what no earlier link has joined; rows of one of ``groups`` are joined."""
     num, den = similarity.numerator, similarity.denominator
     size = np.array([len(s) for s in sets], np.int64)
     within = right is None
     right = left if within else right
     forest, out = _Forest(len(sets)), []
+    first: dict = {}
+    for i, g in enumerate(groups or ()):
+        forest.join(first.setdefault(g, i), i)
     # distances, a slice of rows at a time
     near: list[np.ndarray] = []
     for i in range(0, len(left), 64):
@@ -219,32 +225,33 @@ def _key_rows(classes: DataFrame, plan: list[tuple[int, ...]]) -> DataFrame:
 
 
 def _links(units: DataFrame, radius: int, similarity: Fraction) -> DataFrame:
-    """units: (p, q, side, id, doc_id, sig, set), partitioned and sorted by (p, q) -> links (a, b) of doc_ids."""
+    """units: (p, q, side, id, comp, doc_id, sig, set), partitioned and sorted by (p, q) -> links (a, b) of doc_ids."""
 
     def run(batches):
         def done(rows):
-            docs, seen, side = [], {}, ([], [])
+            docs, seen, side, comps = [], {}, ([], []), []
             sigs, sets = [], []
-            for s, i, d, g, x in rows:
+            for s, i, c, d, g, x in rows:
                 if i not in seen:
                     seen[i] = len(docs)
                     docs.append(d)
+                    comps.append(c)
                     sigs.append(np.frombuffer(g, "<u2"))
                     sets.append(np.frombuffer(x, np.uint64))
                 side[s].append(seen[i])
             left, right = np.unique(side[0]).astype(np.int64), np.unique(side[1]).astype(np.int64)
             if len(left) and (len(right) or len(left) > 1):
-                for a, b in unit_links(np.stack(sigs), sets, left, right if len(right) else None, radius, similarity):
+                for a, b in unit_links(np.stack(sigs), sets, left, right if len(right) else None, radius, similarity, comps):
                     if docs[a] != docs[b]:
                         yield docs[a], docs[b]
 
         at, rows, found = None, [], []
         for batch in batches:
-            for p, q, s, i, d, g, x in zip(*(batch.column(c).to_pylist() for c in ("p", "q", "side", "id", "doc_id", "sig", "set"))):
+            for p, q, *row in zip(*(batch.column(c).to_pylist() for c in ("p", "q", "side", "id", "comp", "doc_id", "sig", "set"))):
                 if (p, q) != at:
                     found += done(rows)
                     at, rows = (p, q), []
-                rows.append((s, i, d, g, x))
+                rows.append(row)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
                 found = []
@@ -252,7 +259,46 @@ def _links(units: DataFrame, radius: int, similarity: Fraction) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
-    return units.select("p", "q", "side", "id", "doc_id", "sig", "set").mapInArrow(run, "a bigint, b bigint")
+    return units.select("p", "q", "side", "id", "comp", "doc_id", "sig", "set").mapInArrow(run, "a bigint, b bigint")
+
+
+def _parts(rows: DataFrame, n: DataFrame, by: str, scratch: Scratch) -> DataFrame:
+    """``rows`` (id, ``by``, ...) with the part of its group that a row is in, by a hash of its id; n (id, n): sizes of sets."""
+    rows = scratch.save(rows, "rows")
+    size = rows.join(n, "id").groupBy(by).agg(F.count("*").alias("rows"), F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    return join_lookup(rows, scratch.save(size, "sizes"), [by], "rows", rows.count()).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+
+
+def _star_units(members: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """A leader against a part of the classes that it leads: (p, q, side, id, comp); each class is a component of its own."""
+    star = members.where("id <> leader").select("leader", "id").distinct()
+    star = scratch.save(_parts(star, classes.select("id", "n"), "leader", scratch).select(F.col("leader").alias("p"), F.col("part").alias("q"), "id"), "star")
+    head = star.select("p", "q").distinct().select("p", "q", F.lit(0).alias("side"), F.col("p").alias("id"))
+    return head.unionByName(star.select("p", "q", F.lit(1).alias("side"), "id")).withColumn("comp", F.col("id"))
+
+
+def _block_units(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """met (id, key, leader, n, comp) -> units of blocks that share a key and aren't of one component: (p, q, side, id, comp).
+
+    A block holds classes with the same smallest leader; components of half a block or more have blocks of their own.
+    """
+    several = met.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_ = scratch.save(met.join(several, "key"), "open")
+    place = open_.groupBy("id").agg(F.min("leader").alias("leader"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+    place = scratch.save(place, "classes")
+    count = scratch.save(place.groupBy("comp").agg(F.count("*").alias("rows")).withColumn("large", F.col("rows") * 2 >= BLOCK_ROWS), "counts")
+    place = join_lookup(place, count, ["comp"], "rows", place.count())
+    place = place.withColumn("group", F.xxhash64("leader", F.when(F.col("large"), F.col("comp"))))
+    place = _parts(place.select("id", "group", "comp", "large"), open_.select("id", "n").distinct(), "group", scratch)
+    # pure: the component that all of the block is of
+    place = scratch.save(place.select("id", "comp", F.when(F.col("large"), F.col("comp")).alias("pure"), F.xxhash64("group", "part").alias("block")), "place")
+    in_key = scratch.save(open_.select("key", "id").join(place.select("id", "block", "pure"), "id").select("key", "block", "pure").distinct(), "inkey")
+    lone = in_key.where("pure IS NULL").select(F.col("block").alias("p"), F.col("block").alias("q")).distinct()
+    cross = in_key.alias("x").join(in_key.alias("y"), "key").where("x.block < y.block AND (x.pure IS NULL OR y.pure IS NULL OR x.pure <> y.pure)").select(F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct()
+    pairs = scratch.save(lone.unionByName(cross), "pairs")
+    own = place.select("id", "comp", "block")
+    left = pairs.join(own, F.col("p") == F.col("block")).select("p", "q", F.lit(0).alias("side"), "id", "comp")
+    return left.unionByName(pairs.where("p <> q").join(own, F.col("q") == F.col("block")).select("p", "q", F.lit(1).alias("side"), "id", "comp"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -276,18 +322,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: Fraction = Frac
     keys = _key_rows(classes, key_plan(radius))
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
     members = scratch.save(keys.join(shared, "key"), "members")
-    # blocks: classes with the same smallest leader, split by a hash so that each part is small
-    place = members.groupBy("id").agg(F.min("leader").alias("leader")).join(classes.select("id", "n"), "id")
-    parts = place.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    place = scratch.save(place.join(parts, "leader").select("id", F.xxhash64("leader", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "place")
-    in_key = scratch.save(members.join(place, "id").select("key", "block").distinct(), "inkey")
-    scratch.drop(members)
-    lone = in_key.select(F.col("block").alias("p"), F.col("block").alias("q")).distinct()
-    cross = in_key.alias("x").join(in_key.alias("y"), "key").where("x.block < y.block").select(F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct()
-    pairs = scratch.save(lone.unionByName(cross), "pairs")
-    left = pairs.join(place, F.col("p") == F.col("block")).select("p", "q", F.lit(0).alias("side"), "id")
-    right = pairs.where("p <> q").join(place, F.col("q") == F.col("block")).select("p", "q", F.lit(1).alias("side"), "id")
-    texts = slim.join(classes.join(place, "id", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = classes.join(members.select("id").distinct(), "id", "left_semi")
+    texts = slim.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def sets_of(t, batch):
         sets = [shingle_set(x, width) for x in t]
@@ -300,12 +336,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: Fraction = Frac
     sets = map_blocks(texts, "set_key binary, sig binary, set binary", sets_of).where("sig IS NOT NULL").select(F.xxhash64("set_key").alias("id"), "doc_id", "sig", "set")
     sets = scratch.save(sets, "sets")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = left.unionByName(right).join(sets, "id").repartition(n, "p", "q").sortWithinPartitions("p", "q")
+
+    def linked(units):
+        return _links(units.join(sets, "id").repartition(n, "p", "q").sortWithinPartitions("p", "q"), radius, similarity)
+
+    by_leader = scratch.save(linked(_star_units(members, classes, scratch)), "leaderlinks")
+    least = classes.select("set_key", F.col("doc_id").alias("b"))
+    near = scratch.save(components(by_leader, scratch), "near")
+    comp = classes.select("id", "n", F.col("doc_id").alias("b")).join(near.withColumnRenamed("id", "b"), "b", "left").select("id", "n", F.coalesce("root", "b").alias("comp"))
+    met = scratch.save(members.join(comp, "id"), "met")
+    scratch.drop(members)
+    links = by_leader.unionByName(linked(_block_units(met, scratch)))
     # one doc_id with several sets (none counts as one): all of them are one document, tied to each set's least doc_id
     several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("set_key")).alias("lo"), F.max(F.xxhash64("set_key")).alias("hi")).where("lo < hi")
-    least = classes.select("set_key", F.col("doc_id").alias("b"))
     ties = known.select("doc_id", "set_key").join(several, "doc_id", "left_semi").join(least, "set_key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    root = scratch.save(components(_links(units, radius, similarity).unionByName(ties), scratch), "roots")
+    root = scratch.save(components(links.unionByName(ties), scratch), "roots")
     labels = least.join(root, F.col("b") == F.col("id"), "left").select("set_key", F.coalesce("root", "b").alias("label"))
     full = rows.where("set_key IS NOT NULL").join(labels, "set_key", "left").select("doc_id", "n_shingles", "label")
     empty = rows.where("set_key IS NULL").join(root, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("label"))
@@ -314,7 +359,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: Fraction = Frac
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, similarity=Fraction(85, 100))
+    """One row for each document: doc_id, n_shingles, component_id, kept; edge cases as in ``near_duplicates``."""
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), width=3, similarity=Fraction(85, 100))
 
 
 SQL = r"""

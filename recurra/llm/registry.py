@@ -12,11 +12,14 @@ QUERIES = {
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_kd_sharding": sharding.op6_kd_sharding,
     "op7_pii": pii.op7_pii,
+    "pii_base": pii.pii_base,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 SQL = {
+    "op1_suffix_array_dedup": substring_dedup.SQL,
+    "pii_base": pii.SQL_BASE,
     "op4_embedding_near_dedup": embedding_dedup.SQL,
     "op10_minhash_near_dedup": near_dedup.SQL,
     "op2_decontamination": decontamination.SQL,

@@ -39,11 +39,10 @@ def measured(docs: DataFrame) -> DataFrame:
 DIMENSIONS = ("d_length", "d_source", "d_lang")
 
 
-def _split_points(units: DataFrame, open_nodes: dict[int, int]) -> tuple[dict[int, str], dict[int, int], dict]:
-    """For each open node: its widest dimension and the composite at which its left side ends."""
+def _extents(units: DataFrame, nodes: list[int]) -> dict:
+    """For each of ``nodes``, which are at most as many as shards: its weight and its ends on each dimension."""
     ends = units.groupBy("node").agg(F.sum("w").alias("w"), *[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))])
-    ends = {r["node"]: r for r in ends.where(F.col("node").isin(list(open_nodes))).collect()}  # at most SHARDS rows
-    return ends
+    return {r["node"]: r for r in ends.where(F.col("node").isin(nodes)).collect()}
 
 
 def _value(dim: str, lo: float, hi: float) -> Column:
@@ -80,7 +79,7 @@ def kd_shards(units: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
         done |= {k: v[1] for k, v in first.items() if v[0] == 1}
         if not ready:
             break
-        ends = _split_points(units, ready)
+        ends = _extents(units, list(ready))
         if spans is None:
             spans = {d: max((ends[0][f"hi_{d}"] - ends[0][f"lo_{d}"]) if 0 in ends else 1.0, 1e-12) for d in DIMENSIONS}
         cut: Column = F.lit(None).cast("long")
@@ -119,7 +118,6 @@ def kd_shards(units: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
         for k, (leaves, shard) in ready.items():
             if k not in at:
                 following[next_node] = (1, shard)
-                done |= {}
                 child = F.when(F.col("node") == k, next_node).otherwise(child)
                 next_node += 1
                 continue
@@ -168,4 +166,5 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, by the contract; edge cases as in ``shard_documents``."""
     return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))

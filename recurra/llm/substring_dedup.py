@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_blocks, table
+from .common import Scratch, free_names, map_blocks, spread, table
 from .fingerprints import Prefixes, scramble, window_minima
 
 THRESHOLD = 400
+#: Texts are read in pieces of so many windows, which bounds memory; a cut makes two intervals of one, as a text's end does.
+PIECE = 1 << 20
 
 
 def start_length(threshold: int) -> int:
@@ -59,22 +61,22 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _interval_rows(docs: DataFrame, threshold: int) -> DataFrame:
+def _interval_rows(docs: DataFrame, threshold: int, piece: int = PIECE) -> DataFrame:
     names = ["doc_id", "t", "start", "width", "g", "off", "s1", "s2"]
 
     def run(batches):
         for b in batches:
             out, size = [], 0
             for doc, t, text in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), b.column("text")):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if len(data) >= threshold:
-                    start, width, g, off, s1, s2 = intervals(data, threshold)
+                data = text.as_buffer() if text.is_valid else b""
+                for at in range(0, len(data) - threshold + 1, piece):
+                    start, width, g, off, s1, s2 = intervals(bytes(data[at : at + piece + threshold - 1]), threshold)
                     k = len(start)
-                    out.append([pa.array([doc] * k, pa.int64()), pa.array(np.full(k, t)), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int32)), _signed(g), pa.array(off.astype(np.int32)), _signed(s1), _signed(s2)])
+                    out.append([pa.array([doc] * k, pa.int64()), pa.array(np.full(k, t)), pa.array((start + at).astype(np.int32)), pa.array(width.astype(np.int32)), _signed(g), pa.array(off.astype(np.int32)), _signed(s1), _signed(s2)])
                     size += k
-                if size >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out)], names)
-                    out, size = [], 0
+                    if size >= 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out)], names)
+                        out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out)], names)
 
@@ -148,9 +150,9 @@ def _blocks(open_: DataFrame, size: int, length: int, threshold: int) -> DataFra
     return open_.select(*fields[:8]).mapInArrow(run, "doc_id bigint, t bigint, start int, width int, g bigint, off int, lone boolean, data binary, block int, r1 bigint, r2 bigint, u1 bigint, u2 bigint")
 
 
-def repeated_positions(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
+def repeated_positions(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD, piece: int = PIECE) -> DataFrame:
     """docs (doc_id, t, text) -> (doc_id, t, start, width): positions whose window starts anywhere else too."""
-    rows = scratch.save(_interval_rows(docs, threshold), "intervals")
+    rows = scratch.save(_interval_rows(docs, threshold, piece), "intervals")
     # written first, so that the join's sides are plain shuffles and a hot rank's rows can be split over tasks
     again = scratch.save(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "again")
     rows_open = scratch.save(rows.join(again, "g"), "open")
@@ -190,25 +192,27 @@ def repeated_positions(docs: DataFrame, scratch: Scratch, threshold: int = THRES
 FIELDS = "n_bytes bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, kept binary"
 
 
-def dedup_substrings(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def dedup_substrings(docs: DataFrame, threshold: int = THRESHOLD, piece: int = PIECE) -> DataFrame:
     """``docs`` with n_bytes, n_removed, removed (maximal runs of bytes) and kept (the remaining bytes).
 
     A byte goes if a string of ``threshold`` bytes that covers it also starts anywhere else, in any document of the
     input. Null text is empty: nothing to remove. Texts under the threshold lose nothing. Repeated rows, with equal or null
-    doc_ids too, are documents of their own, so long ones lose everything. Texts of any length. An empty table gives
-    no rows. Other columns stay, same-named ones are replaced. Equality rests on fingerprints of over 120 bits.
+    doc_ids too, are documents of their own, so long ones lose everything. Texts of any length, in pieces. An empty table gives
+    no rows. Other columns stay, whatever their names; same-named ones are replaced. Equality rests on fingerprints of
+    over 120 bits.
     """
     scratch = Scratch(docs.sparkSession)
     t = F.xxhash64(F.coalesce("text", F.lit("")))
-    docs = docs.drop("n_bytes", "n_removed", "removed", "kept", "_gone", "_d", "_t")
+    docs = docs.drop("n_bytes", "n_removed", "removed", "kept")
+    d, u, gone_at = free_names(docs, "d", "t", "gone")
     slim = docs.select("doc_id", t.alias("t"), "text")
-    gone = repeated_positions(slim, scratch, threshold)
-    gone = gone.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("start", "width")).alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (t == F.col("_t")), "left").drop("_d", "_t")
+    gone = repeated_positions(slim, scratch, threshold, piece)
+    gone = gone.groupBy(F.col("doc_id").alias(d), F.col("t").alias(u)).agg(F.collect_set(F.struct("start", "width")).alias(gone_at))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (t == F.col(u)), "left").drop(d, u)
 
     def work(texts, batch):
         n, removed, kept = [], [], []
-        for text, gone in zip(texts, batch.column("_gone")):
+        for text, gone in zip(texts, batch.column(gone_at)):
             data = (text or "").encode("utf-8", "surrogatepass")
             n.append(len(data))
             runs: list[list[int]] = []
@@ -222,14 +226,35 @@ def dedup_substrings(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             kept.append(b"".join(data[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(data)])))
         return [n, [sum(x["end"] - x["start"] for x in r) for r in removed], removed, kept]
 
-    return map_blocks(joined, FIELDS, work).drop("_gone")
+    return map_blocks(joined, FIELDS, work).drop(gone_at)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; edge cases as in ``dedup_substrings``."""
+    out = dedup_substrings(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: By the definition: all windows, in hexadecimal so that a byte is two characters.
+SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS MATERIALIZED (
+  SELECT r, i, md5_number(substr(x, 2 * i + 1, {2 * THRESHOLD})) AS h FROM (SELECT r, x, unnest(range(0, length(x) // 2 - {THRESHOLD} + 1)) AS i FROM d WHERE length(x) >= {2 * THRESHOLD})
+), again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1
+), hit AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {THRESHOLD} THEN 0 ELSE 1 END AS first FROM w SEMI JOIN again USING (h)
+), spans AS (
+  SELECT r, k, min(i) AS a, max(i) + {THRESHOLD} AS b FROM (SELECT r, i, sum(first) OVER (PARTITION BY r ORDER BY i) AS k FROM hit) GROUP BY r, k
+), kept AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM spans GROUP BY r
+)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, n_spans + 1), lambda k:
+    substr(x, CASE WHEN k = 0 THEN 1 ELSE 2 * ends[k] + 1 END, CASE WHEN k = n_spans THEN length(x) ELSE 2 * starts[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE 2 * ends[k] END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def brute_force(texts: list[bytes], threshold: int = THRESHOLD) -> list[tuple[int, int, int, str]]:
     """The same digests by a count of all windows; for small fixtures."""
     count: dict[bytes, int] = {}

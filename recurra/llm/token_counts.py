@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_blocks, table, tokenizer_path
+from .common import map_blocks, spread, table, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 FIELDS = "n_tokens bigint, n_crossing bigint, sections array<struct<field:string,section:int,start:bigint,end:bigint,tokens:bigint>>"
@@ -92,5 +92,6 @@ def token_counts(docs: DataFrame, fields: tuple[str, ...] = ("text",), tokenizer
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """One row for each document: doc_id, n_tokens, n_crossing, n_sections, section_tokens; edge cases as in ``token_counts``."""
+    out = token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "n_tokens", "n_crossing", F.size("sections").cast("long").alias("n_sections"), F.transform("sections", lambda s: s["tokens"]).alias("section_tokens"))

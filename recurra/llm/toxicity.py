@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic
-from .common import map_blocks, table
+from .common import Scratch, map_blocks, spread, table
 
-#: Bound of the sample of labelled rows that the model is fitted on.
-FIT_ROWS = 20_000
+#: Bounds of the sample of labelled rows that the model is fitted on: rows, bytes of all texts, and bytes of one.
+FIT_ROWS, FIT_BYTES, FIT_TEXT = 20_000, 64 << 20, 1 << 20
 THRESHOLD = 0.3
 HELD_OUT_OF, HELD_OUT = 4, 2
 NEAR = 5
@@ -192,19 +192,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_OF == HELD_OUT, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model | None:
     """The model, from labelled rows that aren't held out; None where there are none of one class.
 
-    The sample of labels, bounded by ``fit_rows``, is broadcast; texts come to the driver for that sample only.
+    The sample of labels, bounded by ``fit_rows``, is broadcast; texts come to the driver for that sample only, and for so
+    much of it as has ``fit_bytes`` bytes. A text of over ``FIT_TEXT`` bytes is scored but not fitted on.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     total = known.count()
     if total > fit_rows:
         # 5 % less than the bound, as a hash doesn't give the exact share; the limit can then hardly cut
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(950_000 * fit_rows / total)).limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", "text"])
-    rows = sorted((r[0], r[1] or "", r[2]) for r in rows.select("doc_id", "text", "toxic").toLocalIterator(prefetchPartitions=False))
+        known = known.where(chance < int(950_000 * fit_rows / total)).limit(fit_rows)
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= FIT_TEXT)
+    rows = Scratch(docs.sparkSession).save(short.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", "text"]), "labelled")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > fit_bytes:
+        # of the rows that are left, those with the least values of another hash
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(950_000 * fit_bytes / size))
+    rows = sorted(tuple(r) for r in rows.select("doc_id", "text", "toxic").toLocalIterator(prefetchPartitions=False))
     y = np.array([r[2] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return None
@@ -230,6 +237,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """One row for each document: doc_id, held_out, score, predicted; edge cases as in ``score_toxicity``."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = score_toxicity(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

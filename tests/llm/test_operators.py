@@ -47,6 +47,19 @@ def corpus(seed=1, n=40):
     return out
 
 
+#: Names that columns of ours have had, or could be taken for.
+CLASHES = ("_d", "_t", "_t1", "_t2", "_gone", "_d_0", "_GONE_0", "_t1_0", "_spans", "_items", "_spans_0", "cands", "_text", "_text_0", "_g0", "_c0", "key", "h1", "pos", "n")
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+
+
+def keeps_clashing(out):
+    row = out.first()
+    return all(row[c] == f"own {c}" for c in CLASHES)
+
+
 def by_id(df, *cols):
     return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
 
@@ -72,6 +85,19 @@ def test_substrings_null_and_repeated_ids(spark):
     assert substring_dedup.dedup_substrings(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64, 300])
+def test_substrings_in_pieces(spark, piece):
+    rng = random.Random(piece)
+    shared = words(rng, 30)
+    texts = [words(rng, 20) + shared + words(rng, 20), shared, "a" * 500, words(rng, 5) + "a" * 120, None]
+    want = substring_dedup.brute_force([(t or "").encode() for t in texts], 40)
+    assert digest1(substring_dedup.dedup_substrings(frame(spark, texts), 40, piece)) == sorted(want)
+
+
+def test_substrings_clashing_columns(spark):
+    assert keeps_clashing(substring_dedup.dedup_substrings(clashing(frame(spark, corpus(5, 6)))))
+
+
 # 2
 
 _W = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -118,6 +144,17 @@ def test_decontamination(spark, block):
     assert empty.first()["n_hit"] == 0
 
 
+def test_decontamination_clashing_columns_and_long_items(spark):
+    rng = random.Random(6)
+    items = [(1, words(rng, 400, "abc")), (2, words(rng, 35, "abc")), (3, "one two")]
+    texts = [words(rng, 30, "abc"), items[0][1], "x " + " ".join(items[0][1].split()[150:190]) + " y", "say one, two", None]
+    b = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    out = decontamination.decontaminate(clashing(frame(spark, texts)), b, block_bytes=300)
+    assert keeps_clashing(out)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert [(got[i]["n_words"], got[i]["n_hit"], got[i]["item_ids"]) for i in range(len(texts))] == brute2(texts, items)
+
+
 def test_fm_index():
     from recurra.llm.fm_index import FMIndex
 
@@ -167,6 +204,30 @@ def test_bpe_joins_and_reuse(monkeypatch):
         assert codec.made - again <= 3 and again >= made
 
 
+def test_bpe_windows_grow(spark):
+    """Chunks at bad joins: texts without safe places, and joins that disagree."""
+    c = bpe.Codec()
+    rng = random.Random(41)
+    texts = ["漢字" * 3000, "x" * 40_000, words(rng, 4000) + "漢" * 5000 + words(rng, 4000), "1.2,3" * 4000]
+    want = [c.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, w in zip(texts, want):
+        ends = bpe.cuts(t)
+        assert c._repaired(t, [t[a:b] for a, b in zip([0, *ends], ends)]).tolist() == w
+        assert c.encode([t])[0].tolist() == w
+    real, calls = bpe._ends, []
+
+    def disagree(ids, tail):
+        calls.append(1)
+        return len(calls) % 3 > 0 and real(ids, tail)
+
+    bpe._ends = disagree
+    try:
+        t = words(rng, 9000)
+        assert c.encode([t])[0].tolist() == c.tok.encode(t, add_special_tokens=False).ids and c.repairs
+    finally:
+        bpe._ends = real
+
+
 # 4
 
 def brute4(vectors, cosine=0.95):
@@ -289,6 +350,39 @@ def test_pii(spark):
             assert not any(s < a["end"] and a["start"] < e for s, e in want[a["kind"]])
     assert (0, 17) in [(a["start"], a["end"]) for a in out[9]["added"]]  # a phone that runs into an address
     assert pii.find_personal_data(frame(spark, [])).count() == 0
+    assert keeps_clashing(pii.find_personal_data(clashing(frame(spark, ["a b", None]))))
+
+
+def test_pii_scores_as_its_trees_do(spark):
+    """Every candidate's choice by the SQL expression against the trees walked in Python; held-out recall and precision."""
+    rng = random.Random(31)
+    texts = [t for t, *_ in rng.sample(pii.examples([], 40, 99), 400)]
+    model = pii.fit(frame(spark, texts).select("text"))
+    found = pii.candidates(pii.base_spans(frame(spark, texts))).select("doc_id", F.explode("cands").alias("c")).select("doc_id", "c.*", model.chosen(F.col("c")).alias("chosen")).collect()
+    x = np.array([[r[f] for f in pii.FEATURES] for r in found], float)
+
+    def walk(row):
+        score = model.trees.base
+        for tree in model.trees.trees:
+            i = 0
+            while 2 * i + 1 < len(tree):
+                f, edge, _ = tree[i]
+                i = 2 * i + 1 + (f >= 0 and row[f] > edge)
+            score += tree[i][2]
+        return 1 / (1 + math.exp(-score)) >= model.cut - 1e-9
+
+    assert len(found) > 150 and [r["chosen"] for r in found] == [walk(r) for r in x] == model.takes(x).tolist()
+    assert 0.05 < np.mean([r["chosen"] for r in found]) < 0.9
+    for kind, (recall, precision, n) in model.report.items():
+        assert n > 10 and recall >= 0.6 and precision >= 0.9, (kind, recall, precision, n)
+
+
+def test_pii_adds_what_the_base_loses_and_leaves_the_rest(spark):
+    good = ["pay 4111.1111.1111.1111 now", "4111111111111111 6011000990139424", "call (509) 555-6973 soon", "write joe.doe [at] mail.example.com today"]
+    bad = ["pay 4111.1111.1111.1112 now", "4111111111111112 6011000990139425", "order 509-555-6973 soon", "version 1.2.3.999", "we met at noon dot two", "x4111111111111112y", "room 12 at 10.30"]
+    rows = {r["doc_id"]: r["added"] for r in pii.find_personal_data(frame(spark, good + bad)).collect()}
+    assert all(rows[i] for i in range(len(good))) and len(rows[1]) == 2
+    assert not any(rows[i] for i in range(len(good), len(good + bad)))
 
 
 def test_pii_random(spark):
@@ -407,19 +501,6 @@ def test_lines_runs_hold_each_key_once(spark):
     assert known and set(known) <= set(keys)
 
 
-#: Names that columns of ours have had, or could be taken for.
-CLASHES = ("_d", "_t", "_t1", "_t2", "_gone", "_d_0", "_GONE_0", "_t1_0", "_spans", "_items", "_spans_0", "cands", "_text", "_text_0", "_g0", "_c0", "key", "h1", "pos", "n")
-
-
-def clashing(df):
-    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
-
-
-def keeps_clashing(out):
-    row = out.first()
-    return all(row[c] == f"own {c}" for c in CLASHES)
-
-
 def test_lines_clashing_columns(spark):
     assert keeps_clashing(line_dedup.dedup_lines(clashing(frame(spark, corpus(12, 8)))))
 
