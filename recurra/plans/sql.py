@@ -118,14 +118,14 @@ reach(id, z) AS (SELECT a, a FROM two UNION SELECT reach.id, two.b FROM reach JO
 grp AS MATERIALIZED (SELECT id, min(z) AS root FROM reach GROUP BY id),
 sc AS (SELECT g.root, g.id, sum({est('x.sig', 'y.sig')}) AS score FROM grp g JOIN grp o ON o.root = g.root AND o.id <> g.id JOIN dsig x ON x.id = g.id JOIN dsig y ON y.id = o.id GROUP BY g.root, g.id),
 med AS (SELECT root, id AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY score DESC, id) AS k FROM sc) WHERE k = 1),
-facts AS MATERIALIZED (SELECT root, row_number() OVER (ORDER BY root) AS k, n, first_day, last_day, qualified, project, substr(sha256(dn.norm || '|' || array_to_string(list_sort(i.seq), ',')), 1, 12) AS fp, {title('i.text')} AS title_hint
-  FROM (SELECT root, count(*) AS n, min(day) AS first_day, max(day) AS last_day, count(*) >= 3 AND count(DISTINCT day) >= 2 AS qualified, arg_min(project, id) AS project FROM grp JOIN info USING (id) GROUP BY root)
+facts AS MATERIALIZED (SELECT root, row_number() OVER (ORDER BY root) AS k, n, first_day, last_day, qualified, g.project, substr(sha256(dn.norm || '|' || array_to_string(list_sort(i.seq), ',')), 1, 12) AS fp, {title('i.text')} AS title_hint
+  FROM (SELECT root, count(*) AS n, min(day) AS first_day, max(day) AS last_day, count(*) >= 3 AND count(DISTINCT day) >= 2 AS qualified, arg_min(project, id) AS project FROM grp JOIN info USING (id) GROUP BY root) g
   JOIN med USING (root) JOIN info i ON i.id = medoid JOIN dn ON dn.id = medoid)"""
 
 SQL = {
     "overlap_winner": "WITH c AS (SELECT s_suppkey AS cluster_id, ['forming', 'candidate', 'dismissed', 'proposed', 'pushed'][(s_suppkey % 5 + 1)::INT] AS status, s_suppkey % 5 AS p FROM supplier), o AS (SELECT root, cluster_id, count(*) AS overlap FROM (SELECT DISTINCT l_orderkey AS root, l_partkey AS m FROM lineitem) JOIN (SELECT DISTINCT l_suppkey AS cluster_id, l_partkey AS m FROM lineitem) USING (m) GROUP BY 1, 2) SELECT root, cluster_id, status, overlap FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY p DESC, overlap DESC, cluster_id) AS k FROM o JOIN c USING (cluster_id)) WHERE k = 1",
     "user_groups": "SELECT user_id AS root, count(*)::INT AS size, min(strftime(ts, '%Y-%m-%d')) AS first_day, max(strftime(ts, '%Y-%m-%d')) AS last_day, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS n_days, arg_min(event_type, event_id) AS project, count(*) >= 3 AND count(DISTINCT strftime(ts, '%Y-%m-%d')) >= 2 AS qualified FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
-    "session_durations": "SELECT user_id, round((epoch_ms(max(ts)) - epoch_ms(min(ts))) / 1000.0, 3)::DOUBLE AS seconds, 0.0::DOUBLE AS none FROM events GROUP BY user_id",
+    "session_durations": "SELECT user_id, round((epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000) / 1000.0, 3)::DOUBLE AS seconds, 0.0::DOUBLE AS none FROM events GROUP BY user_id",
     "ignored_pages": "SELECT page_id, coalesce(starts_with(url, 'https://www.') OR starts_with(url, 'http://'), false) AS ignored FROM pages",
     "sweep_batch": "WITH s AS (SELECT o_custkey, min(length(o_orderpriority)) AS b FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), t AS (SELECT o.o_custkey AS session_id, o_orderkey::VARCHAR AS transcript_path, length(o_orderpriority)::BIGINT AS size, strftime(o_orderdate, '%Y-%m-%d') AS mtime FROM orders o LEFT JOIN s ON s.o_custkey = o.o_custkey WHERE b IS NULL OR length(o_orderpriority) > b) SELECT session_id, transcript_path, size, mtime FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY mtime DESC, transcript_path) AS k FROM t) WHERE k = 1 ORDER BY mtime, session_id LIMIT 500",
     "session_index": f"WITH {_sess} SELECT * FROM sess",
