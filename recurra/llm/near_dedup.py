@@ -5,11 +5,11 @@
 2. Signatures are split into chunks. By the pigeonhole principle two signatures at most ``radius`` positions apart
    agree on some chunk up to that chunk's allowed errors; the errors are enumerated by leaving positions out. So every
    pair under the radius shares a key.
-3. Every class is first compared with the leaders of its keys, the least class of each. Their links' components leave
-   only keys whose classes are in several components: a group of near copies is mostly done then, with work in
-   proportion to its size.
-4. Classes of the keys that are left are put into blocks of bounded size, a large component's into blocks of its own; each
-   pair of blocks with a common key and more than one component is one unit of work. A unit compares signatures, then
+3. Every class is first compared with the leaders of its keys, the least class of each. Classes linked with one leader are
+   a star; only keys whose classes are in several stars are left: a group of near copies is mostly done then, with work
+   in proportion to its size.
+4. Classes of the keys that are left are put into blocks of bounded size, a large star's into blocks of its own; each
+   pair of blocks with a common key and more than one star is one unit of work. A unit compares signatures, then
    full sets, and returns at most one link for each class that it joins: pairs that are joined already are not listed.
 5. All links give connected components.
 """
@@ -342,8 +342,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: Fraction = Frac
 
     by_leader = scratch.save(linked(_star_units(members, classes, scratch)), "leaderlinks")
     least = classes.select("set_key", F.col("doc_id").alias("b"))
-    near = scratch.save(components(by_leader, scratch), "near")
-    comp = classes.select("id", "n", F.col("doc_id").alias("b")).join(near.withColumnRenamed("id", "b"), "b", "left").select("id", "n", F.coalesce("root", "b").alias("comp"))
+    # one label for classes linked with one leader, the least of their leaders: all that it takes to leave them out below
+    near = by_leader.groupBy("b").agg(F.min("a").alias("root"))
+    comp = classes.select("id", "n", F.col("doc_id").alias("b")).join(near, "b", "left").select("id", "n", F.coalesce("root", "b").alias("comp"))
     met = scratch.save(members.join(comp, "id"), "met")
     scratch.drop(members)
     links = by_leader.unionByName(linked(_block_units(met, scratch)))
