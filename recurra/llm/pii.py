@@ -30,10 +30,10 @@ BASE = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?+[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Generators of candidates: (kind, a cheap test, pattern). High recall: formats in longer runs, without a plus, disguised.
+#: Generators of candidates: (kind, a cheap test, pattern). High recall: formats in longer runs, without a plus, disguised. There is
+#: none for addresses: four parts of at most 255 are a base span wherever they stand, and in a longer row they aren't one.
 GENERATORS = (
     ("email", r"[\[({] ?at ?[\])}]| at ", rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+(?: ?[\[({{] ?at ?[\])}}] ?| at )[A-Za-z0-9-]{{1,63}}+(?:(?:\.| ?[\[({{] ?dot ?[\])}}] ?| dot )[A-Za-z0-9-]{{1,63}}+){{1,8}}+"),
-    ("ip", r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])"),
     ("card", r"[0-9]{4}", r"(?<![0-9])[0-9]{4}([\x20.-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4,7}(?![0-9])"),
     ("phone", r"[0-9]{4}", r"(?<![0-9])(?:\+?[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 )
@@ -96,7 +96,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 #: Features of a candidate, all small integers, so that their combinations are few however many rows there are.
-FEATURES = ("kind", "digits", "luhn", "parts", "plus", "bracket", "separators", "left", "right", "named", "other")
+FEATURES = ("kind", "digits", "luhn", "plus", "bracket", "separators", "left", "right", "named", "other")
 
 
 def _class(c: Column) -> Column:
@@ -113,7 +113,6 @@ def described(kind: str, text: Column, x: Column) -> Column:
         F.lit(KINDS.index(kind)).alias("kind"),
         F.least(F.length(digits), F.lit(20)).alias("digits"),
         (luhn(digits) if kind == "card" else F.lit(False)).cast("int").alias("luhn"),
-        (small_parts(s) if kind == "ip" else F.lit(False)).cast("int").alias("parts"),
         s.startswith("+").cast("int").alias("plus"),
         s.rlike(r"[()\[\]{}]").cast("int").alias("bracket"),
         F.least(F.length(F.regexp_replace(s, r"[^\x20.-]", "")), F.lit(4)).alias("separators"),
@@ -163,11 +162,6 @@ def _forms(kind: str, value: str, rng: random.Random) -> list[tuple[str, str, st
         wrong = d[:-1] + str((int(d[-1]) + rng.randrange(1, 10)) % 10)
         out = [("", _grouped(d, "."), "", 1), ("", d, " " + d, 1), ("", _grouped(d, "-"), " 12", 1), (rng.choice(("card ", "visa ")), _grouped(d, "."), "", 1)]
         return out + [("", _grouped(wrong, "."), "", 0), ("", wrong, "", 0), ("", wrong, " " + wrong, 0), (other + " ", wrong, "", 0), ("", _grouped(wrong, " "), "", 0), ("x", d, "y", 0)]
-    if kind == "ip":
-        parts = value.split(".")
-        spoilt = parts[:]
-        spoilt[rng.randrange(4)] = str(rng.randrange(256, 1000))
-        return [("", value, ".7777", 1), ("", ".".join(spoilt), "", 0), ("version ", ".".join(spoilt), "", 0), ("", ".".join(spoilt), ".", 0)]
     if kind == "phone":
         d = "".join(c for c in value if c.isdigit())[-10:].rjust(10, "5")
         bare = rng.choice((f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}"))
@@ -187,8 +181,6 @@ def _made(kind: str, rng: random.Random) -> str:
     if kind == "card":
         d = rng.choice("3456") + digits(14)
         return d + _luhn_digit(d)
-    if kind == "ip":
-        return ".".join(str(rng.randrange(256)) for _ in range(4))
     if kind == "phone":
         return f"+{rng.randrange(1, 99)} {digits(3)} {digits(3)} {digits(4)}"
     name = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
@@ -200,7 +192,8 @@ def examples(found: list[tuple[str, str, str, str]], made: int = MADE, seed: int
     rng = random.Random(seed)
     sides = [(le, ri) for _, _, le, ri in found] or [("", "")]
     sides += [("", ""), ("and then ", " of it."), ("(", ")"), ("it was ", ", or so"), ("text ", "\nmore")]
-    values = [(k, v) for k, v, _, _ in found] + [(k, _made(k, rng)) for k in KINDS for _ in range(made)]
+    kinds = [k for k, _, _ in GENERATORS]
+    values = [(k, v) for k, v, _, _ in found if k in kinds] + [(k, _made(k, rng)) for k in kinds for _ in range(made)]
     out = []
     for kind, value in values:
         part = zlib.crc32(value.encode()) % 5
@@ -230,8 +223,8 @@ class SpanModel:
         self.cut = float(enough[0]) if len(enough) else 2.0
         take, last = self.takes(x), part == 4
         self.report = {}
-        for i, kind in enumerate(KINDS):
-            own = last & (x[:, 0] == i)
+        for kind, _, _ in GENERATORS:
+            own = last & (x[:, 0] == KINDS.index(kind))
             hit = float((take & own & (y == 1)).sum())
             self.report[kind] = (hit / max((own & (y == 1)).sum(), 1), hit / max((own & take).sum(), 1), int((own & (y == 1)).sum()))
 
