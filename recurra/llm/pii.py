@@ -226,7 +226,7 @@ class SpanModel:
         for kind, _, _ in GENERATORS:
             own = last & (x[:, 0] == KINDS.index(kind))
             hit = float((take & own & (y == 1)).sum())
-            self.report[kind] = (hit / max((own & (y == 1)).sum(), 1), hit / max((own & take).sum(), 1), int((own & (y == 1)).sum()))
+            self.report[kind] = (hit / max(int((own & (y == 1)).sum()), 1), hit / max(int((own & take).sum()), 1), int((own & (y == 1)).sum()))
 
     def takes(self, x: np.ndarray) -> np.ndarray:
         """The choice for rows of FEATURES, as ``chosen`` makes it."""
