@@ -16,8 +16,10 @@ def join_lookup(left: DataFrame, right: DataFrame, on: list[str], rows: str, tot
     stay where they are. What is left is shuffled and has no key with more than that share of ``total``, the number
     of rows of ``left``. ``left`` is read twice: write it first. Column ``rows`` is not returned; null keys join nothing.
     """
-    hot = total / HOT_SHARE
     gets = [c for c in right.columns if c not in on and c != rows]
+    if total <= HOT_SHARE:  # each key has a row of left at least, so there are no more keys than that
+        return left.join(F.broadcast(right.select(*on, *gets)), on).select(*left.columns, *gets)
+    hot = total / HOT_SHARE
     few = right.where(F.col(rows) > hot).select(*on, F.struct(*gets, F.lit(True).alias("hot")).alias("_hot"))
     met = left.join(F.broadcast(few), on, "left")
     by_hot = met.where("_hot IS NOT NULL").select(*left.columns, *[F.col(f"_hot.{c}").alias(c) for c in gets])

@@ -100,6 +100,20 @@ def test_components(spark, parts):
     assert components(spark.createDataFrame([], "a STRING, b STRING"), Scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("share", [3, 10, 10_000])
+def test_join_lookup(spark, monkeypatch, share):
+    """Hot keys by broadcast, the others by shuffle, or all by broadcast: the same rows as a plain join."""
+    from recurra.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_SHARE", share)
+    rows = [(k, i) for k, n in ((1, 40), (2, 5), (3, 1), (4, 1), (None, 9), (9, 2)) for i in range(n)]
+    left = spark.createDataFrame(rows, "k INT, i INT")
+    right = spark.createDataFrame([(1, "a", 40), (2, None, 5), (3, "c", 1), (9, "d", 2)], "k INT, v STRING, n BIGINT")
+    got = skew.join_lookup(left, right, ["k"], "n", len(rows))
+    assert got.columns == ["k", "i", "v"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((k, i, {1: "a", 2: None, 3: "c", 9: "d"}[k]) for k, i in rows if k in (1, 2, 3, 9)), key=repr)
+
+
 def test_upsert_and_latest(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k STRING, v INT")
     new = spark.createDataFrame([("b", None), ("c", 3)], "k STRING, v INT")
