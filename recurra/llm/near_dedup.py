@@ -32,6 +32,8 @@ POSITIONS, BITS, CHUNKS = 64, 16, 16
 #: Bound of the chance that a pair at the similarity is further apart than the radius.
 MISS = Fraction(1, 30_000)
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
+#: A leader is compared with so many classes in a unit: work there is in proportion to rows, so units may be small and even.
+STAR_ROWS = 64
 #: Bound of the table of word hashes.
 _WORDS = 100_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -262,17 +264,17 @@ def _links(units: DataFrame, radius: int, similarity: Fraction) -> DataFrame:
     return units.select("p", "q", "side", "id", "comp", "doc_id", "sig", "set").mapInArrow(run, "a bigint, b bigint")
 
 
-def _parts(rows: DataFrame, n: DataFrame, by: str, scratch: Scratch) -> DataFrame:
-    """``rows`` (id, ``by``, ...) with the part of its group that a row is in, by a hash of its id; n (id, n): sizes of sets."""
+def _parts(rows: DataFrame, n: DataFrame, by: str, scratch: Scratch, most: int) -> DataFrame:
+    """``rows`` (id, ``by``, ...) with the part of its group that a row is in, by a hash of its id, of about ``most`` rows; n (id, n): sizes of sets."""
     rows = scratch.save(rows, "rows")
-    size = rows.join(n, "id").groupBy(by).agg(F.count("*").alias("rows"), F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    size = rows.join(n, "id").groupBy(by).agg(F.count("*").alias("rows"), F.ceil(F.greatest(F.count("*") / most, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     return join_lookup(rows, scratch.save(size, "sizes"), [by], "rows", rows.count()).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
 
 
 def _star_units(members: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """A leader against a part of the classes that it leads: (p, q, side, id, comp); each class is a component of its own."""
     star = members.where("id <> leader").select("leader", "id").distinct()
-    star = scratch.save(_parts(star, classes.select("id", "n"), "leader", scratch).select(F.col("leader").alias("p"), F.col("part").alias("q"), "id"), "star")
+    star = scratch.save(_parts(star, classes.select("id", "n"), "leader", scratch, STAR_ROWS).select(F.col("leader").alias("p"), F.col("part").alias("q"), "id"), "star")
     head = star.select("p", "q").distinct().select("p", "q", F.lit(0).alias("side"), F.col("p").alias("id"))
     return head.unionByName(star.select("p", "q", F.lit(1).alias("side"), "id")).withColumn("comp", F.col("id"))
 
@@ -289,7 +291,7 @@ def _block_units(met: DataFrame, scratch: Scratch) -> DataFrame:
     count = scratch.save(place.groupBy("comp").agg(F.count("*").alias("rows")).withColumn("large", F.col("rows") * 2 >= BLOCK_ROWS), "counts")
     place = join_lookup(place, count, ["comp"], "rows", place.count())
     place = place.withColumn("group", F.xxhash64("leader", F.when(F.col("large"), F.col("comp"))))
-    place = _parts(place.select("id", "group", "comp", "large"), open_.select("id", "n").distinct(), "group", scratch)
+    place = _parts(place.select("id", "group", "comp", "large"), open_.select("id", "n").distinct(), "group", scratch, BLOCK_ROWS)
     # pure: the component that all of the block is of
     place = scratch.save(place.select("id", "comp", F.when(F.col("large"), F.col("comp")).alias("pure"), F.xxhash64("group", "part").alias("block")), "place")
     in_key = scratch.save(open_.select("key", "id").join(place.select("id", "block", "pure"), "id").select("key", "block", "pure").distinct(), "inkey")
