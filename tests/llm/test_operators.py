@@ -622,3 +622,24 @@ def test_token_counts(spark):
                 line = r[s["field"]].split("\n")[s["section"]]
                 assert r[s["field"]][s["start"] : s["end"]].rstrip("\n") == line
     assert token_counts.token_counts(frame(spark, [])).count() == 0
+
+
+def test_token_counts_of_long_texts_and_null_ids(spark):
+    from recurra.llm import token_counts
+
+    texts = ["word of a long line " * 40_000, None, "a\nb", "", "a\nb"]
+    out = token_counts.token_counts(clashing(frame(spark, texts, [None, None, 1, 2, 1])))
+    assert keeps_clashing(out)
+    e = token_counts.encoder(token_counts.TOKENIZER).encoding
+    got = sorted((r["doc_id"] or 0, r["n_tokens"], sum(s["tokens"] for s in r["sections"]), len(r["sections"])) for r in out.collect())
+    n = [len(e.encode_ordinary(t or "")) for t in texts]
+    assert got == sorted([(0, n[0], n[0], 1), (0, 0, 0, 0), (1, n[2], n[2], 2), (2, 0, 0, 1), (1, n[4], n[4], 2)])
+
+
+def test_embeddings_at_the_threshold(spark):
+    """Pairs on either side of the cosine, as near as doubles tell; ties among equal vectors."""
+    up, down = math.acos(0.95) - 1e-7, math.acos(0.95) + 1e-7
+    rows = [(4, [1.0, 0.0]), (2, [math.cos(up), math.sin(up)]), (9, [math.cos(down), -math.sin(down)]), (7, [2.0, 0.0]), (5, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    assert got == {4: (3, 2), 7: (3, 2), 5: (3, 2), 2: (3, 2), 9: (0, 9)}
