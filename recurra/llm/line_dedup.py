@@ -139,6 +139,7 @@ def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = M
     for b in range(batches):
         runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
     gone = _lines_that_go(lines, runs.repeated(min_docs), scratch)
+    runs.drop()  # their repeated keys are written
     gone = gone.groupBy(F.col("doc_id").alias(d), F.col("t1").alias(u1), F.col("t2").alias(u2)).agg(F.collect_set("pos").alias(gone_at))
     t1, t2 = hash128(F.coalesce("text", F.lit("")))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (t1 == F.col(u1)) & (t2 == F.col(u2)), "left")
