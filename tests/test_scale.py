@@ -2,7 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from recurra.functions import sketch, text
 from recurra.operators import tables
+from recurra.plans import queries
 from recurra.sources.scratch import Scratch
 
 
@@ -23,3 +30,34 @@ def test_first_choices_are_the_winners_of_all_overlaps(spark, monkeypatch):
         got = tables.first_choices(g, c, m, Scratch(spark))
         assert sorted(map(tuple, got.collect())) == want
     assert len(want) > 30
+
+
+@pytest.fixture
+def documents(spark, tmp_path):
+    r = random.Random(3)
+    body = [" ".join(r.choice(("see", "Report-2.pdf", "a@b.de", "42", "Ünder", "the", "x")) for _ in range(r.randrange(40))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate([*body, None, "", "...", "one", *body[:20], *body[:20]])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_normalization_runs_no_pattern_in_java(spark, documents):
+    for q in (queries.normalize_documents, queries.fingerprint_text):
+        assert "regexp_replace" not in plan(q(spark, documents))
+
+
+def test_replacements_are_those_of_the_definition():
+    cases = ["[redacted] x", "see https://a.b/c?d=e, f", "c:\\a\\b ../a/b/ ~/x/y", "2026-01-02 1/2/26 0123456789ab", "\u00e9a@b.de\u00a0\u3000z", "a\x00b", "", "-a.md--b.pdf.txt"]
+    want = pa.array(cases)
+    for p, to in text.REPLACEMENTS:
+        want = pa.compute.replace_substring_regex(want, text.with_space(p), to)
+    assert text.replaced(pa.array(cases)).to_pylist() == [t.strip(" ") for t in want.to_pylist()]
+
+
+def test_session_text_of_nulls_and_slices(spark):
+    df = spark.createDataFrame([(None,), ([],), (["A", None, "7"],), (["b"],)], "p array<string>")
+    assert [r[0] for r in df.select(text.session_text(F.col("p"))).collect()] == [None, "", "a |  | NUM", "b"]
