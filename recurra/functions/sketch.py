@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 # Stored sketches are comparable only with these.
 POSITIONS, BANDS, ROWS = 128, 32, 4
@@ -14,6 +14,8 @@ FNV_BASE, FNV_PRIME = 2166136261, 16777619
 MIX_FACTOR = 73244475
 SEED_START, SEED_FACTOR, SEED_STEP = 2654435769, 1664525, 1013904223
 # End of fixed values.
+#: Shingles that are mixed at once; their 128 mixes each stay in a core's cache.
+CHUNK = 256
 MASK = 4294967295
 
 
@@ -51,44 +53,87 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
-def shingle_hashes(norm: str, k: int = 3) -> np.ndarray:
-    """FNV-1a of each shingle of normalized text. A shingle is a stretch of it, so no string is built."""
+def _shingles(norm: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-16 units of normalized text, and where each shingle starts and ends in them."""
     words = norm.split(" ")
     if "" in words:
         words = [w for w in words if w]
         norm = " ".join(words)
     if not words:
-        return np.zeros(0, np.uint32)
+        return (np.zeros(0, np.uint32),) * 3
     units = np.frombuffer(norm.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint32)
     space = np.flatnonzero(units == 32)
     start = np.concatenate(([0], space + 1))
     end = np.concatenate((space, [len(units)]))
     k = min(k, len(words))
-    start, end = start[: len(words) - k + 1], end[k - 1 :]
-    h = np.full(len(start), FNV_BASE, np.uint32)
+    return units, start[: len(words) - k + 1], end[k - 1 :]
+
+
+def _fnv(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """FNV-1a of each stretch. The longest come first, so that those with a unit left are a stretch themselves."""
+    if not len(start):
+        return np.zeros(0, np.uint32)
     length = end - start
-    for j in range(int(length.max())):
-        live = length > j
-        h[live] = (h[live] ^ units[start[live] + j]) * np.uint32(FNV_PRIME)
-    return h
+    order = np.argsort(-length, kind="stable")
+    at, longest = start[order], length[order[0]]
+    live = np.cumsum(np.bincount(length, minlength=longest + 1)[::-1])[::-1]
+    h = np.full(len(start), FNV_BASE, np.uint32)
+    for j in range(longest):
+        n = live[j + 1]
+        h[:n] = (h[:n] ^ units[at[:n] + j]) * np.uint32(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def shingle_hashes(norm: str, k: int = 3) -> np.ndarray:
+    """FNV-1a of each shingle of normalized text. A shingle is a stretch of it, so no string is built."""
+    return _fnv(*_shingles(norm, k))
+
+
+def distinct_hashes(norm: str, k: int = 3) -> np.ndarray:
+    """FNV-1a of each distinct shingle: shingles of one hash are compared by their units."""
+    units, start, end = _shingles(norm, k)
+    h = _fnv(units, start, end)
+    _, where, n = np.unique(h, return_inverse=True, return_counts=True)
+    again = n[where] > 1
+    met = {units[start[i] : end[i]].tobytes(): h[i] for i in np.flatnonzero(again)}
+    return np.concatenate((h[~again], np.fromiter(met.values(), np.uint32, len(met))))
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
     table = np.array(seeds(), np.uint32)[:, None]
     low = np.full(POSITIONS, MASK, np.uint32)
-    for i in range(0, len(hashes), 4096):
-        low = np.minimum(low, _mix(hashes[None, i : i + 4096] ^ table).min(axis=1))
+    for i in range(0, len(hashes), CHUNK):
+        low = np.minimum(low, _mix(hashes[None, i : i + CHUNK] ^ table).min(axis=1))
     return low
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def signature(norm: pd.Series) -> pd.Series:
+def _once(f):
+    """A filter on what a function of this kind gives is not pushed below it: the optimizer would compute it for both."""
+    return f.asNondeterministic()
+
+
+@_once
+@F.arrow_udf(ArrayType(LongType()))
+def signature(norm: pa.Array) -> pa.Array:
     """The sketch of normalized text, Arrow-batched; null for text without words."""
     out = []
-    for t in norm:
+    for t in norm.to_pylist():
         h = shingle_hashes(t) if t else ()
         out.append(minima(h).astype(np.int64) if len(h) else None)
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+@_once
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in ("n", "lo", "hi", "mixed")]))
+def shingle_facts(norm: pa.Array) -> pa.Array:
+    """Of the hashes of distinct shingles: how many, the least, the greatest, the sum of their mixes; null for text without words."""
+    out = []
+    for t in norm.to_pylist():
+        h = distinct_hashes(t) if t else ()
+        out.append({"n": len(h), "lo": int(h.min()), "hi": int(h.max()), "mixed": int(_mix(h).sum(dtype=np.int64))} if len(h) else None)
+    return pa.array(out, pa.struct([(c, pa.int64()) for c in ("n", "lo", "hi", "mixed")]))
 
 
 def est_jaccard(a: Column, b: Column) -> Column:
@@ -110,19 +155,17 @@ def band_hashes(sig: Column) -> Column:
     return F.array(*out)
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def bands(sig: pd.Series) -> pd.Series:
+@_once
+@F.arrow_udf(ArrayType(LongType()))
+def bands(sig: pa.Array) -> pa.Array:
     """The same as ``band_hashes``, Arrow-batched."""
-    known = [i for i, s in enumerate(sig) if s is not None]
-    out: list = [None] * len(sig)
-    if known:
-        raw = np.stack([np.asarray(sig.iloc[i], np.uint32) for i in known]).view(np.uint8).reshape(len(known), BANDS, 4 * ROWS).astype(np.uint32)
-        h = np.full((len(known), BANDS), FNV_BASE, np.uint32)
-        for j in range(4 * ROWS):
-            h = (h ^ raw[:, :, j]) * np.uint32(FNV_PRIME)
-        for i, row in zip(known, h.astype(np.int64)):
-            out[i] = row
-    return pd.Series(out, dtype=object)
+    raw = sig.flatten().to_numpy(zero_copy_only=False).astype(np.uint32).view(np.uint8).reshape(-1, BANDS, 4 * ROWS).astype(np.uint32)
+    h = np.full(raw.shape[:2], FNV_BASE, np.uint32)
+    for j in range(4 * ROWS):
+        h = (h ^ raw[:, :, j]) * np.uint32(FNV_PRIME)
+    known = sig.is_valid().to_numpy(zero_copy_only=False)
+    ends = pa.array(np.concatenate(([0], np.cumsum(known) * BANDS)), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(h.astype(np.int64).ravel()), mask=sig.is_null())
 
 
 def band_keys(hashes: Column) -> Column:

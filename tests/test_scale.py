@@ -61,3 +61,11 @@ def test_replacements_are_those_of_the_definition():
 def test_session_text_of_nulls_and_slices(spark):
     df = spark.createDataFrame([(None,), ([],), (["A", None, "7"],), (["b"],)], "p array<string>")
     assert [r[0] for r in df.select(text.session_text(F.col("p"))).collect()] == [None, "", "a |  | NUM", "b"]
+
+
+def test_sketches_are_computed_once(spark, documents):
+    """A filter on a sketch was pushed below it, so that text was normalized and sketched twice."""
+    for q in (queries.lsh_band_keys, queries.minhash_signature):
+        p = plan(q(spark, documents))
+        assert p.count("signature(") == 1 and p.count("lower(coalesce(") == 1, p
+    assert queries.lsh_band_keys(spark, documents).count() == queries.minhash_signature(spark, documents).where("signature IS NOT NULL").count() == len([t for t in queries.normalize_documents(spark, documents).collect() if t.norm])
