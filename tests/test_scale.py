@@ -69,3 +69,19 @@ def test_sketches_are_computed_once(spark, documents):
         p = plan(q(spark, documents))
         assert p.count("signature(") == 1 and p.count("lower(coalesce(") == 1, p
     assert queries.lsh_band_keys(spark, documents).count() == queries.minhash_signature(spark, documents).where("signature IS NOT NULL").count() == len([t for t in queries.normalize_documents(spark, documents).collect() if t.norm])
+
+
+def test_shingles_are_hashed_where_they_are(spark, documents):
+    p = plan(queries.fnv_shingle_hash(spark, documents))
+    assert "Generate" not in p and "HashAggregate" not in p and p.count("lower(coalesce(") == 1
+    h = queries._norm(spark, documents).select("doc_id", F.explode(text.word_shingles(F.col("norm"))).alias("s")).select("doc_id", sketch.fnv1a(F.col("s")).alias("h"))
+    want = h.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum(sketch.mix32(F.col("h"))).alias("mixed"))
+    got = queries.fnv_shingle_hash(spark, documents)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_shingles_of_one_hash_count_apart():
+    words = [f"w{i}" for i in range(200_000)]
+    h = sketch.distinct_hashes(" ".join(words + words[:1000]), 1)
+    assert len(h) == 200_000 > len(np.unique(h))
