@@ -16,6 +16,8 @@ SEED_START, SEED_FACTOR, SEED_STEP = 2654435769, 1664525, 1013904223
 # End of fixed values.
 #: Shingles that are mixed at once; their 128 mixes each stay in a core's cache.
 CHUNK = 256
+#: Texts of so many units are hashed at once.
+TOGETHER = 1 << 18
 MASK = 4294967295
 
 
@@ -91,6 +93,28 @@ def shingle_hashes(norm: str, k: int = 3) -> np.ndarray:
     return _fnv(*_shingles(norm, k))
 
 
+def batch_hashes(norms: list[str | None], k: int = 3):
+    """The ``shingle_hashes`` of each text, hashed together up to ``TOGETHER`` units: a step for many costs what it does for one."""
+    group, size = [], 0
+    for t in norms:
+        group.append(_shingles(t or "", k))
+        size += len(group[-1][0])
+        if size >= TOGETHER:
+            yield from _hashed(group)
+            group, size = [], 0
+    yield from _hashed(group)
+
+
+def _hashed(group: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    if not group:
+        return []
+    at = np.cumsum([0] + [len(units) for units, _, _ in group[:-1]])
+    start = np.concatenate([s + i for (_, s, _), i in zip(group, at)]).astype(np.int64)
+    end = np.concatenate([e + i for (_, _, e), i in zip(group, at)]).astype(np.int64)
+    h = _fnv(np.concatenate([units for units, _, _ in group]), start, end)
+    return np.split(h, np.cumsum([len(s) for _, s, _ in group[:-1]]))
+
+
 def distinct_hashes(norm: str, k: int = 3) -> np.ndarray:
     """FNV-1a of each distinct shingle: shingles of one hash are compared by their units."""
     units, start, end = _shingles(norm, k)
@@ -101,11 +125,26 @@ def distinct_hashes(norm: str, k: int = 3) -> np.ndarray:
     return np.concatenate((h[~again], np.fromiter(met.values(), np.uint32, len(met))))
 
 
+_SHIFT, _FACTOR = np.uint32(16), np.uint32(MIX_FACTOR)
+_SEEDS = np.array(seeds(), np.uint32)[:, None]
+
+
 def minima(hashes: np.ndarray) -> np.ndarray:
-    table = np.array(seeds(), np.uint32)[:, None]
+    """The least mix of all hashes for each seed; chunks are mixed in place, as new arrays cost more than the mixing."""
     low = np.full(POSITIONS, MASK, np.uint32)
+    x, y = np.empty((2, POSITIONS, min(CHUNK, len(hashes))), np.uint32)
     for i in range(0, len(hashes), CHUNK):
-        low = np.minimum(low, _mix(hashes[None, i : i + CHUNK] ^ table).min(axis=1))
+        part = hashes[None, i : i + CHUNK]
+        if part.shape[1] < x.shape[1]:
+            x, y = np.empty((2, POSITIONS, part.shape[1]), np.uint32)
+        np.bitwise_xor(part, _SEEDS, out=x)
+        for _ in range(2):
+            np.right_shift(x, _SHIFT, out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, _FACTOR, out=x)
+        np.right_shift(x, _SHIFT, out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.minimum(low, x.min(axis=1), out=low)
     return low
 
 
@@ -119,8 +158,7 @@ def _once(f):
 def signature(norm: pa.Array) -> pa.Array:
     """The sketch of normalized text, Arrow-batched; null for text without words."""
     out = []
-    for t in norm.to_pylist():
-        h = shingle_hashes(t) if t else ()
+    for h in batch_hashes(norm.to_pylist()):
         out.append(minima(h).astype(np.int64) if len(h) else None)
     return pa.array(out, pa.list_(pa.int64()))
 

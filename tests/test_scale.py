@@ -82,6 +82,16 @@ def test_shingles_are_hashed_where_they_are(spark, documents):
 
 
 def test_shingles_of_one_hash_count_apart():
-    words = [f"w{i}" for i in range(200_000)]
+    r = random.Random(1)
+    words = list({"".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=12)) for _ in range(200_000)})
     h = sketch.distinct_hashes(" ".join(words + words[:1000]), 1)
-    assert len(h) == 200_000 > len(np.unique(h))
+    assert len(h) == len(words) > len(np.unique(h))
+
+
+def test_texts_hashed_together_keep_their_hashes(monkeypatch):
+    r = random.Random(2)
+    norms = [" ".join(r.choices(("a", "bc", "def", "ghijklmnop"), k=r.randrange(12))) for _ in range(50)] + [None, "", "one", "a" * 300]
+    for n in (1, 40, 1 << 18):
+        monkeypatch.setattr(sketch, "TOGETHER", n)
+        got = list(sketch.batch_hashes(norms))
+        assert [h.tolist() for h in got] == [sketch.shingle_hashes(t or "").tolist() for t in norms]
